@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, quality, toxicity
+from . import decontaminate, language, mixing, quality, secret_scan, toxicity
 from .common import table
 
 
+def op1_secrets(spark, sf_dir):
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -14,6 +18,10 @@ def op5_quality_lines(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_mixture(spark, sf_dir):
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,5 +30,5 @@ def op9_language(spark, sf_dir):
     return language.language(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op5_quality_lines, op8_toxicity, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op4_decontamination, op5_quality_lines, op6_mixture, op8_toxicity, op9_language)}
 ORACLE_SQL: dict[str, str] = {}
