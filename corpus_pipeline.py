@@ -1,10 +1,16 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline over `documents`: toxic documents go, one document of each near-duplicate group stays,
+documents with benchmark passages go, secrets are masked, and the sources are mixed to their target weights.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return
+the columns of `documents`; the last returns a row for each copy in the mix, in training order, with mix_copy,
+mix_words and mix_position beside them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import decontaminate, toxicity
+from tilewright.llm import decontaminate, jaccard_join, mixing, secret_scan, toxicity
 from tilewright.llm.common import share, table
 
 
@@ -12,16 +18,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("toxicity", drop_toxic), ("benchmark decontamination", decontaminated)]
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redacted(docs, n_chars="n_chars")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", mask_secrets),
+    ("mixing sources", mix_sources),
+]
+
+#: Learned toxicity scores are beyond SQL; tests/llm hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = share(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = share(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,10 +9,13 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 WHITE = b" \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, quality, secret_scan, toxicity
+from . import decontaminate, jaccard_join, language, mixing, quality, secret_scan, toxicity
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_secrets(spark, sf_dir):
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,5 +34,5 @@ def op9_language(spark, sf_dir):
     return language.language(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op4_decontamination, op5_quality_lines, op6_mixture, op8_toxicity, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_jaccard, op4_decontamination, op5_quality_lines, op6_mixture, op8_toxicity, op9_language)}
 ORACLE_SQL: dict[str, str] = {}
