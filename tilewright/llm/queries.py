@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language, mixing, quality, secret_scan, toxicity
+from . import decontaminate, html_text, jaccard_join, language, mixing, pii, quality, secret_scan, suffix_dedup, toxicity
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_secrets(spark, sf_dir):
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op6_mixture(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark, sf_dir):
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,5 +42,9 @@ def op9_language(spark, sf_dir):
     return language.language(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_jaccard, op4_decontamination, op5_quality_lines, op6_mixture, op8_toxicity, op9_language)}
+def op10_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_suffix_dedup, op3_jaccard, op4_decontamination, op5_quality_lines, op6_mixture, op7_html_text, op8_toxicity, op9_language, op10_personal_data)}
 ORACLE_SQL: dict[str, str] = {}
