@@ -9,8 +9,9 @@ shingles; with fewer words, the whole sequence is one; without words it is empty
 3. Shingles are globally ordered: low ones first, by (document frequency, hash), then the rest by hash. Two
    sets with the wanted similarity share a shingle within the first n - ceil(t * n) + 1 of each. Frequencies of
    low shingles are exact. A document whose prefix consists of shingles of its own alone drops out here.
-4. For each shared prefix shingle the documents that have it are a bucket; equal buckets are joined once.
-   Large buckets are cut into blocks by a hash, bounded by the shingles in them.
+4. For each shared prefix shingle the documents that have it are a bucket; equal buckets count once. Documents
+   that buckets connect are a cluster; most hold a few documents. A cluster of at most BLOCK shingles is a
+   block, so each set is sent once. Of larger clusters each bucket is joined, cut into blocks by a hash.
 5. In a block a prefix tree stores the sets (most frequent shingle first, so that near copies share paths);
    each set traverses it, carrying the overlap so far, and leaves a subtree when the shingles left on either
    side can't reach the overlap needed, when its sizes don't fit, or when all of it is linked with the set
@@ -20,7 +21,7 @@ shingles; with fewer words, the whole sequence is one; without words it is empty
    every block of the largest component against every block of the others, and the others among themselves.
 
 Nulls: a null text is empty; rows with null doc_id get a null component. Equal rows are in one class; rows that
-share a doc_id but not a text give their links to that doc_id. Empty table: empty result.
+share a doc_id but not a text are linked by their own texts. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ from .components import components
 WORDS = 3
 PERCENT = 90
 LOW = 0.16
-BLOCK = 1_500_000  # shingles in a block
+BLOCK = 6_000_000  # shingles in a block
 BROADCAST_ROWS = 500_000  # of two integers; beyond that the join shuffles
-SETS = "n_shingles long, node long, low array<long>, n_low int"
+SETS = "n_shingles long, print long, low array<long>, n_low int"
 
 
 def shingles(text, words: int = WORDS) -> np.ndarray:
@@ -87,11 +88,11 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def _full_sets(text: Column, words: int) -> Column:
-    @F.pandas_udf("node long, set array<long>")
+    @F.pandas_udf("print long, set array<long>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingles(t, words) for t in texts]
-            yield pd.DataFrame({"node": [fingerprint(s) for s in sets], "set": [_signed(s) for s in sets]})
+            yield pd.DataFrame({"print": [fingerprint(s) for s in sets], "set": [_signed(s) for s in sets]})
 
     return found(text)
 
@@ -221,13 +222,22 @@ def _block(of: Column) -> Column:
     return F.pmod(F.xxhash64("node", "bucket"), of).cast("int")
 
 
+def _without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not in gone; broadcast if gone's size, which is checked, allows."""
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
+
+
 def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) per row; (node, doc_id) per class of equal sets; (node, component) of linked classes."""
+    """(doc_id, n_shingles, print) per row; (print, node, doc_id) per class of equal sets; (node, component) of linked classes."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = share(docs.select("doc_id", _sets(F.col("text"), words, percent).alias("s")).select("doc_id", "s.*"), "jaccard-rows")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node", "n_shingles", "n_low").agg(F.min("doc_id").alias("doc_id"), F.any_value("low").alias("low"))
+    rows = docs.select("doc_id", _sets(F.col("text"), words, percent).alias("s")).select(F.monotonically_increasing_id().alias("node"), "doc_id", "s.*")
+    rows = share(rows, "jaccard-rows")
+    filled = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = filled.groupBy("print", "n_shingles").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.count("*").alias("n")).select("print", "n_shingles", "first.doc_id", "first.node", "n")
     classes = share(classes, "jaccard-classes")
-    tokens = classes.select("node", "n_shingles", "n_low", F.explode("low").alias("token"))
+    several = classes.where("n > 1").select("print", F.col("node").alias("first"))
+    copies = share(filled.select("print", "node").join(several, "print").where("node <> first").select("node"), "jaccard-copies")
+    tokens = _without(filled, copies, "node").select("node", "n_shingles", "n_low", F.explode("low").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # the shared shingles of each prefix, rarest first
     is_high = (F.col("token") < 0) | (F.col("token") >= int(LOW * 2**64))
@@ -238,22 +248,33 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     room = F.greatest(F.lit(0), prefix - (F.col("n_low") - F.size(low))).cast("int")
     postings = share(shared.select("node", "n_shingles", F.explode(F.concat(F.slice(low, F.lit(1), room), high)["token"]).alias("bucket")), "jaccard-postings")
     # buckets with the same documents are one
-    of = postings.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("m > 1")
-    of = of.groupBy("m", "weight", "x", "y").agg(F.min("bucket").alias("bucket"))
-    members = share(postings.join(of.select("bucket", _blocks(F.col("weight")).alias("blocks")), "bucket"), "jaccard-members")
-    # the whole sets of those documents alone
-    wanted = share(classes.select("node", "doc_id").join(members.select("node").distinct(), "node"), "jaccard-wanted")
+    of = postings.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("weight"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("m > 1")
+    of = of.groupBy("m", "weight", "least", "x", "y").agg(F.min("bucket").alias("bucket"))
+    members = share(postings.join(of.select("bucket", "least", _blocks(F.col("weight")).alias("blocks")), "bucket"), "jaccard-members")
+    # documents connected by buckets are a cluster; one of bounded size is joined at once, each set sent once
+    cluster = components(members.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    sized = members.select("node", "n_shingles").distinct().join(cluster, "node").withColumnRenamed("component", "cluster")
+    large = sized.groupBy("cluster").agg(F.sum("n_shingles").alias("w")).where(F.col("w") > BLOCK).select("cluster")
+    sized = share(sized.join(large.withColumn("large", F.lit(True)), "cluster", "left").select("node", "cluster", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-clusters")
+    # the whole sets of these documents alone
+    wanted = share(classes.select("node", "doc_id", "print").join(sized, "node"), "jaccard-wanted")
     small = wanted.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select(F.col("node").alias("of"), _full_sets(F.col("text"), words).alias("s"))
-    sets = share(texts.where("of = s.node").select("s.*"), "jaccard-sets")
-    first = members.withColumns({"block": _block(F.col("blocks")), "component": F.col("node")}).join(sets, "node")
-    links = share(_links(first, percent), "jaccard-links")
+    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id")
+    sets = texts.select("node", "cluster", "large", "print", _full_sets(F.col("text"), words).alias("s")).where("print = s.print").select("node", "cluster", "large", "s.set")
+    of_clusters = sets.where("not large").select(F.col("cluster").alias("bucket"), F.lit(0).cast("long").alias("block"), "node", F.col("node").alias("component"), "set")
+    links = share(_links(of_clusters, percent), "jaccard-links")
+    in_large = members.join(sized.where("large"), "node")
+    if in_large.isEmpty():
+        return rows.select("doc_id", "n_shingles", "print"), classes.select("print", "node", "doc_id"), share(components(links), "jaccard-components")
+    sets = share(sets.where("large").select("node", "set"), "jaccard-sets")
+    first = in_large.withColumns({"block": _block(F.col("blocks")), "component": F.col("node")}).join(sets, "node")
+    links = links.unionByName(share(_links(first, percent), "jaccard-links"))
     found = share(components(links), "jaccard-components")
-    large = members.where("blocks > 1")
-    if not large.isEmpty():
-        links = links.unionByName(share(_links(_second(large, found, sets), percent), "jaccard-links"))
+    several = in_large.where("blocks > 1").select("bucket", "node", "n_shingles")
+    if not several.isEmpty():
+        links = links.unionByName(share(_links(_second(several, found, sets), percent), "jaccard-links"))
         found = share(components(links), "jaccard-components")
-    return rows.select("doc_id", "n_shingles", "node"), classes.select("node", "doc_id"), found
+    return rows.select("doc_id", "n_shingles", "print"), classes.select("print", "node", "doc_id"), found
 
 
 def _second(large: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
@@ -276,11 +297,12 @@ def _second(large: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     rows, classes, found = classes_and_links(docs, doc_id, text, words, percent)
-    linked = found.join(classes, "node")
+    linked = classes.select("print", "node", "doc_id").join(found, "node")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = classes.join(linked.select("node", "component").join(least, "component"), "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    rows = rows.withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
-    return rows.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = linked.select("print", "component").join(least, "component").select("print", "component_id")
+    label = classes.select("print", "doc_id").join(linked, "print", "left").select("print", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = rows.withColumn("print", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("print")))
+    return rows.join(label, "print", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -292,5 +314,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     twice = share(found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice")), "jaccard-twice")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, F.col(doc_id) == F.col("__twice"), "left_semi").withColumn("__node", _full_sets(F.col(text), words)["node"]).dropDuplicates([doc_id, "__node"]).drop("__node")
+    again = kept.join(twice, F.col(doc_id) == F.col("__twice"), "left_semi").withColumn("__print", _full_sets(F.col(text), words)["print"]).dropDuplicates([doc_id, "__print"]).drop("__print")
     return kept.join(twice, F.col(doc_id) == F.col("__twice"), "left_anti").unionByName(again)
