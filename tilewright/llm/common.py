@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
+BATCH_ROWS = 1000  # of texts, which can be long, that a Python worker holds at a time
 WHITE = b" \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

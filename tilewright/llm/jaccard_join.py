@@ -9,7 +9,8 @@ shingles; with fewer words, the whole sequence is one; without words it is empty
 3. Shingles are globally ordered: low ones first, by (document frequency, hash), then the rest by hash. Two
    sets with the wanted similarity share a shingle within the first n - ceil(t * n) + 1 of each. Frequencies of
    low shingles are exact. A document whose prefix consists of shingles of its own alone drops out here.
-4. For each shared prefix shingle the documents that have it are a bucket; equal buckets count once. Documents
+4. For each shared prefix shingle the documents that have it are a bucket, by classes of their sets' sizes (each
+   is with its own class and the one below); equal buckets count once. Documents
    that buckets connect are a cluster; most hold a few documents. A cluster of at most BLOCK shingles is a
    block, so each set is sent once. Of larger clusters each bucket is joined, cut into blocks by a hash.
 5. In a block a prefix tree stores the sets (most frequent shingle first, so that near copies share paths);
@@ -26,6 +27,7 @@ share a doc_id but not a text are linked by their own texts. Empty table: empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,7 @@ from .components import components
 WORDS = 3
 PERCENT = 90
 LOW = 0.16
-BLOCK = 6_000_000  # shingles in a block
+BLOCK = 4_000_000  # shingles in a block
 BROADCAST_ROWS = 500_000  # of two integers; beyond that the join shuffles
 SETS = "n_shingles long, print long, low array<long>, n_low int"
 
@@ -247,26 +249,32 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     prefix = F.expr(f"n_shingles - ({percent} * n_shingles + 99) div 100 + 1")
     room = F.greatest(F.lit(0), prefix - (F.col("n_low") - F.size(low))).cast("int")
     postings = share(shared.select("node", "n_shingles", F.explode(F.concat(F.slice(low, F.lit(1), room), high)["token"]).alias("bucket")), "jaccard-postings")
+    # sets of the wanted similarity have sizes in the same class or in neighbouring ones: a window holds the sets of
+    # its own class and those of the next, and counts if it has one of its own
+    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.0001 * math.log(100 / percent))).cast("long")
+    windows = postings.withColumn("class", size_class).withColumn("window", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+    windows = windows.select("node", "n_shingles", F.xxhash64("bucket", "window").alias("bucket"), (2 * F.col("node") + (F.col("window") != F.col("class")).cast("int")).alias("seat"))
     # buckets with the same documents are one
-    of = postings.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("weight"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("m > 1")
+    of = windows.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.col("seat") % 2).alias("own"), F.sum("n_shingles").alias("weight"), F.min("seat").alias("least"), F.bit_xor(F.xxhash64("seat")).alias("x"), F.bit_xor(F.xxhash64("seat", F.lit(1))).alias("y")).where("m > 1 and own = 0")
     of = of.groupBy("m", "weight", "least", "x", "y").agg(F.min("bucket").alias("bucket"))
-    members = share(postings.join(of.select("bucket", "least", _blocks(F.col("weight")).alias("blocks")), "bucket"), "jaccard-members")
+    members = share(windows.join(of.select("bucket", "least", _blocks(F.col("weight")).alias("blocks")), "bucket"), "jaccard-members")
     # documents connected by buckets are a cluster; one of bounded size is joined at once, each set sent once
-    cluster = components(members.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    sized = members.select("node", "n_shingles").distinct().join(cluster, "node").withColumnRenamed("component", "cluster")
-    large = sized.groupBy("cluster").agg(F.sum("n_shingles").alias("w")).where(F.col("w") > BLOCK).select("cluster")
-    sized = share(sized.join(large.withColumn("large", F.lit(True)), "cluster", "left").select("node", "cluster", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-clusters")
+    cluster = components(members.select(F.col("seat").alias("a"), F.col("least").alias("b")))
+    sized = members.select("seat", "node", "n_shingles").distinct().join(cluster.withColumnsRenamed({"node": "seat", "component": "cluster"}), "seat")
+    large = sized.groupBy("cluster").agg(F.sum("n_shingles").alias("w")).where(F.col("w") > BLOCK).select("cluster", F.lit(True).alias("large"))
+    sized = share(sized.join(large, "cluster", "left").select("node", "seat", "cluster", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-clusters")
+    seats = sized.groupBy("node").agg(F.collect_set(F.struct("cluster", "large")).alias("seats"))  # two at most
     # the whole sets of these documents alone
-    wanted = share(classes.select("node", "doc_id", "print").join(sized, "node"), "jaccard-wanted")
+    wanted = share(classes.select("node", "doc_id", "print").join(seats, "node"), "jaccard-wanted")
     small = wanted.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id")
-    sets = texts.select("node", "cluster", "large", "print", _full_sets(F.col("text"), words).alias("s")).where("print = s.print").select("node", "cluster", "large", "s.set")
-    of_clusters = sets.where("not large").select(F.col("cluster").alias("bucket"), F.lit(0).cast("long").alias("block"), "node", F.col("node").alias("component"), "set")
+    sets = texts.select("node", "seats", "print", _full_sets(F.col("text"), words).alias("s")).where("print = s.print").select("node", "seats", "s.set")
+    of_clusters = sets.withColumn("seat", F.explode(F.filter("seats", lambda x: ~x["large"]))).select(F.col("seat.cluster").alias("bucket"), F.lit(0).cast("long").alias("block"), "node", F.col("node").alias("component"), "set")
     links = share(_links(of_clusters, percent), "jaccard-links")
-    in_large = members.join(sized.where("large"), "node")
+    in_large = members.join(sized.where("large").select("seat"), "seat", "left_semi")
     if in_large.isEmpty():
         return rows.select("doc_id", "n_shingles", "print"), classes.select("print", "node", "doc_id"), share(components(links), "jaccard-components")
-    sets = share(sets.where("large").select("node", "set"), "jaccard-sets")
+    sets = share(sets.where(F.exists("seats", lambda x: x["large"])).select("node", "set"), "jaccard-sets")
     first = in_large.withColumns({"block": _block(F.col("blocks")), "component": F.col("node")}).join(sets, "node")
     links = links.unionByName(share(_links(first, percent), "jaccard-links"))
     found = share(components(links), "jaccard-components")
