@@ -319,14 +319,14 @@ def region_extract(spark, sf):
     return cut.extract(gray(spark, sf), 5, 10, 32, 20, 64, 200)
 
 
-@query(f"WITH {GRAY} SELECT y, list(c0 ORDER BY x) AS line FROM px WHERE x BETWEEN 5 AND 36 AND y BETWEEN 10 AND 29 GROUP BY y")
+@query(f"WITH {GRAY} SELECT y, string_agg(CAST(c0 AS VARCHAR), ',' ORDER BY x) AS line FROM px WHERE x BETWEEN 5 AND 36 AND y BETWEEN 10 AND 29 GROUP BY y")
 def region_rows(spark, sf):
-    return cut.rows_of(cut.region(gray(spark, sf), 5, 10, 32, 20, 64, 200))
+    return cut.rows_of(cut.region(gray(spark, sf), 5, 10, 32, 20, 64, 200)).select("y", F.array_join(F.transform("line", lambda v: v.cast("string")), ",").alias("line"))
 
 
-@query("SELECT format, b FROM (VALUES ('gray8', [10]), ('gray16', [2570]), ('rgb8', [10, 20, 30]), ('rgba8', [10, 20, 30, 255]), ('rgb16', [2570, 2570, 2570]), ('rgba16', [2570, 2570, 2570, 2570])) v(format, b)")
+@query("SELECT format, b FROM (VALUES ('gray8', '10'), ('gray16', '2570'), ('rgb8', '10,20,30'), ('rgba8', '10,20,30,255'), ('rgb16', '2570,2570,2570'), ('rgba16', '2570,2570,2570,2570')) v(format, b)")
 def background_pixels(spark, sf):
-    return spark.createDataFrame([(n, list(cut.background(n, (10, 20, 30)))) for n, *_ in tm.PIXEL_FORMATS], "format string, b array<int>")
+    return spark.createDataFrame([(n, ",".join(map(str, cut.background(n, (10, 20, 30))))) for n, *_ in tm.PIXEL_FORMATS], "format string, b string")
 
 
 # -- contents -------------------------------------------------------------------------------------
@@ -500,7 +500,10 @@ def page_strip_matrix(spark, sf):
     return table(spark, sf, "part").select("p_partkey", rot.alias("rot"), m.alias("m")).select("p_partkey", "rot", F.col("m")[4].alias("m5"), F.col("m")[5].alias("m6"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(trunc(CAST(1 - CAST(i AS FLOAT) / 255 AS FLOAT) * CAST(1 - CAST(51 AS FLOAT) / 255 AS FLOAT) * CAST(255 AS FLOAT)) AS INTEGER) AS r FROM (SELECT unnest(range(256)) AS i)")
+FLOAT = "CAST({} AS FLOAT)".format
+
+
+@query(f"SELECT CAST(i AS BIGINT) AS i, CAST(trunc(({FLOAT(1)} - {FLOAT('i')} / {FLOAT(255)}) * ({FLOAT(1)} - {FLOAT(51)} / {FLOAT(255)}) * {FLOAT(255)}) AS INTEGER) AS r FROM (SELECT unnest(range(256)) AS i)")
 def cmyk(spark, sf):
     v = F.col("id")
     return spark.range(256).select(v.alias("i"), tm.cmyk_to_rgb(v, v, v, F.lit(51)).alias("p")).select("i", "p.r")

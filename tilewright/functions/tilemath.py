@@ -100,7 +100,7 @@ def parse_tile_path(layout: Column, path: Column) -> Column:
 def object_key(prefix: Column, image: Column, layout: Column, path: Column) -> Column:
     """Key of a tile in an object store; path from tile_path."""
     base = F.concat(image, F.when(layout == "deep_zoom", "_files/").otherwise("/"), path)
-    trimmed = F.trim(F.lit("/"), F.coalesce(prefix, F.lit("")))
+    trimmed = F.trim(F.coalesce(prefix, F.lit("")), F.lit("/"))
     return F.when(trimmed == "", base).otherwise(F.concat(trimmed, F.lit("/"), base))
 
 
@@ -174,6 +174,7 @@ def strip_matrix(rotation: Column, scale: Column, width_pt: Column, height_pt: C
 
 def cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column) -> Column:
     """Channels 0-255 -> STRUCT r, g, b; single precision, truncated."""
-    part = lambda x: (F.lit(1.0).cast("float") - x.cast("float") / F.lit(255.0).cast("float")).cast("float")
+    # division is in double precision; each step is rounded to single
+    part = lambda x: F.lit(1.0).cast("float") - (x.cast("float") / F.lit(255.0).cast("float")).cast("float")
     byte = lambda x: (part(x) * part(k) * F.lit(255.0).cast("float")).cast("int")
     return F.struct(byte(c).alias("r"), byte(m).alias("g"), byte(y).alias("b"))
