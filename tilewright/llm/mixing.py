@@ -105,7 +105,7 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
             _position(0).alias("position"),
             _position(1).alias("position_again"),
         )
-        .orderBy(F.asc_nulls_last("position"))
+        .orderBy(F.asc_nulls_last("position"), "doc_id")
     )
 
 
