@@ -125,7 +125,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     classes = long_.groupBy("print", "n_words").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.any_value("at").alias("at"), F.any_value("seed").alias("seed"))
     classes = share(classes, "suffix-classes")
     suffixes = classes.select("print", "doc", F.explode(F.arrays_zip("at", "seed")).alias("s")).select("print", "doc", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
-    equal = suffixes.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("seed")
+    # written first: a join of two plain exchanges, which Spark can split at hot seeds
+    equal = share(suffixes.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("seed"), "suffix-equal")
     seeds = share(suffixes.join(equal, "seed").groupBy("print", "doc").agg(F.collect_list("at").alias("at")), "suffix-seeds")
     wanted = seeds.select("print", F.col("doc").alias("doc_id"))
     small = wanted.count() <= BROADCAST_ROWS
@@ -133,7 +134,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").withColumn("own", _print(F.col("text"))).where("own = print").select("print", "text").join(seeds, "print")
     windows = share(texts.select("print", "doc", _windows(F.col("text"), F.col("at"), length).alias("w")).select("print", "doc", "w.*"), "suffix-windows")
     each = windows.select("print", "doc", F.explode(F.arrays_zip("start", "hash")).alias("w")).select("print", "doc", F.col("w.start").alias("start"), F.col("w.hash").alias("hash"))
-    same = each.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("hash", "first")
+    same = share(each.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("hash", "first"), "suffix-same")
     hits = each.join(same, "hash").groupBy("print", "doc").agg(F.collect_list("start").alias("start"), F.collect_list("first").alias("firsts"), F.min("first").alias("first"))
     passages = hits.select("print", "first", _merged(F.col("start"), F.col("firsts"), F.col("doc"), length).alias("m")).select("print", "first", "m.*")
     # whole texts that several documents hold
