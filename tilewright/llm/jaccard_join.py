@@ -240,7 +240,8 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     several = classes.where("n > 1").select("print", F.col("node").alias("first"))
     copies = share(filled.select("print", "node").join(several, "print").where("node <> first").select("node"), "jaccard-copies")
     tokens = _without(filled, copies, "node").select("node", "n_shingles", "n_low", F.explode("low").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # written first: a join of two plain exchanges, which Spark can split at hot shingles
+    often = share(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-often")
     # the shared shingles of each prefix, rarest first
     is_high = (F.col("token") < 0) | (F.col("token") >= int(LOW * 2**64))
     entry = F.struct(is_high.alias("high"), F.when(is_high, 0).otherwise(F.col("df")).alias("df"), F.col("token").alias("token"))
