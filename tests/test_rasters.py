@@ -275,6 +275,23 @@ def test_job_run_resume_verify_and_archives(spark, tmp_path):
         assert len(z.namelist()) == 2 * written
 
 
+def test_job_dedupe(spark, tmp_path):
+    x = np.zeros((32, 48, 1), np.uint8)
+    x[:, 16:32] = 5
+    x[16:, 32:, 0] = x[:16, 32:, 0] = rng.integers(0, 256, (16, 16))
+    source = blocks(spark, x, "gray8", 16)
+    for strategy, n in (("blanks", 2), ("all_content", 3)):
+        out, job = str(tmp_path / strategy), PyramidJob(48, 32, 16, pixel_format="gray8").with_format("raw").with_dedupe(strategy)
+        job.run(source, out)
+        refs = {k: v for k, v in manifest.read(open(out + "/manifest.json").read())["blank_references"].items() if k.startswith("6/")}
+        assert len(refs) == n
+        for path, shared in refs.items():
+            _, col, row = path.replace("_", "/").removesuffix(".raw").split("/")
+            assert open(f"{out}/{path}", "rb").read() == b"\x00"
+            assert open(f"{out}/{shared}", "rb").read() == x[int(row) * 16 : int(row) * 16 + 16, int(col) * 16 : int(col) * 16 + 16].tobytes()
+        assert job.with_resume("verify").run(source, out)["mismatched"] == 0
+
+
 def test_budget_and_settings(spark):
     with pytest.raises(ValueError, match="budget"):
         PyramidJob(10_000, 10, 256).with_memory_budget(1000).levels(spark)

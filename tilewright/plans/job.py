@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import hashing
+from ..functions.tilemath import dzi, shared_path
+from ..operators import contents
 from ..operators.resample import BLOCK_SCHEMA, block_cascade, halve_array, to_array
 from ..operators.tiles import background, blank_strategy
 from ..sources.codec import encoded
@@ -20,7 +22,7 @@ from ..sources.sinks import POLICIES, TileDirectory, write_archive
 from . import manifest, planner
 
 ENGINES = ("auto", "monolithic", "streaming", "map_reduce")
-TILE_SCHEMA = "image_id string, level long, col long, row long, w long, h long, pixel_format string, data binary, blank boolean"
+TILE_SCHEMA = "image_id string, level long, col long, row long, w long, h long, pixel_format string, data binary, blank boolean, uniform boolean"
 
 
 @dataclass(frozen=True)
@@ -150,7 +152,7 @@ class PyramidJob:
             grid = planner.tiles(planner.levels(planner.plan(self.images(spark)))).select("image_id", "level", "col", "row")
             empty = bytes(np.broadcast_to(np.array(fill, _kind(self.pixel_format)), (tile, tile, len(fill))).tobytes())
             missing = grid.join(tiles.select("level", "col", "row"), ["level", "col", "row"], "left_anti")
-            tiles = tiles.unionByName(missing.select("image_id", "level", "col", "row", F.lit(tile).cast("long").alias("w"), F.lit(tile).cast("long").alias("h"), F.lit(self.pixel_format).alias("pixel_format"), F.lit(bytearray(empty)).alias("data"), F.lit(strategy != "emit").alias("blank")))
+            tiles = tiles.unionByName(missing.select("image_id", "level", "col", "row", F.lit(tile).cast("long").alias("w"), F.lit(tile).cast("long").alias("h"), F.lit(self.pixel_format).alias("pixel_format"), F.lit(bytearray(empty)).alias("data"), F.lit(strategy != "emit").alias("blank"), F.lit(True).alias("uniform")))
         extension = {"png": "png", "raw": "raw"}[self.settings.get("tile_format", "png")]
         return planner.paths(tiles.withColumn("layout", F.lit(self.layout)), extension).drop("layout")
 
@@ -170,7 +172,7 @@ class PyramidJob:
                 data = np.ascontiguousarray(part)
                 own = data.view(np.uint8).reshape(-1, data.shape[2] * data.itemsize).astype(np.int16)
                 blank = strategy != "emit" and bool((np.abs(own - own[0]) <= (tolerance if strategy == "placeholder_with_tolerance" else 0)).all())
-                rows.append((r.image_id, r.level, col, row, data.shape[1], data.shape[0], r.pixel_format, data.tobytes(), blank))
+                rows.append((r.image_id, r.level, col, row, data.shape[1], data.shape[0], r.pixel_format, data.tobytes(), blank, bool((own == own[0]).all())))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in TILE_SCHEMA.split(", ")])
 
     # -- run --------------------------------------------------------------------------------------
@@ -192,8 +194,9 @@ class PyramidJob:
             tiles = tiles.join(done, ["level", "col", "row"], "left_anti")
         data = encoded(F.col("data"), F.col("w"), F.col("h"), F.col("pixel_format"), tile_format)
         written = tiles.withColumn("data", F.when(F.col("blank"), F.lit(bytearray(b"\x00"))).otherwise(data))
+        written, references = self._deduped(written)
         algorithm = self.settings.get("checksums")
-        facts = written.select("level", "col", "row", "path", "blank", F.octet_length("data").alias("bytes"), *([hashing.digest(F.col("data"), algorithm).alias("digest")] if algorithm else []))
+        facts = written.where("level is not null").select("level", "col", "row", "path", "blank", F.octet_length("data").alias("bytes"), *([hashing.digest(F.col("data"), algorithm).alias("digest")] if algorithm else []))
         spark.dataSource.register(TileDirectory)
         writer = written.select("path", "data", "blank").write.format("tile_directory").mode("append").option("path", out)
         for k in ("failures", "max_retries", "initial_ms"):
@@ -211,12 +214,10 @@ class PyramidJob:
         checksums = {"algo": algorithm, "per_tile": {r.path: r.digest for r in facts.select("path", "digest").toLocalIterator()}} if algorithm else None
         now = spark.range(1).select(manifest.timestamp(F.current_timestamp()).alias("t")).first().t
         generation = {"tile_size": self.tile_size, "overlap": self.overlap, "layout": self.layout, "format": {"kind": tile_format}, "concurrency": 0, "background_rgb": list(self.settings.get("background", (255, 255, 255))), "blank_strategy": {"kind": self.settings.get("blank", "emit")}}
-        text = json.dumps(manifest.build(generation, {"width": self.width, "height": self.height, "pixel_format": self.pixel_format}, described, now, checksums))
+        text = json.dumps(manifest.build(generation, {"width": self.width, "height": self.height, "pixel_format": self.pixel_format}, described, now, checksums, references, {"tolerance": 0, "dedupe": self.settings.get("dedupe", "none") != "none"}))
         for name in (out.rstrip("/") + ".manifest.json", os.path.join(out, "manifest.json")):
             _write(name, text)
         if self.layout == "deep_zoom":
-            from ..functions.tilemath import dzi
-
             xml = spark.range(1).select(dzi(F.lit(tile_format), F.lit(self.overlap), F.lit(self.tile_size), F.lit(self.width), F.lit(self.height)).alias("x")).first().x
             _write(out.rstrip("/") + ".dzi", xml)
         done = sorted({(r.level, r.col, r.row) for r in facts.select("level", "col", "row").toLocalIterator()} | {tuple(t) for t in (kept or {}).get("completed_tiles", [])})
@@ -226,6 +227,22 @@ class PyramidJob:
         self._tell(kind="Finished", **result)
         return result
 
+    def _deduped(self, written: DataFrame) -> tuple[DataFrame, dict]:
+        """Tiles whose content an earlier one (by level, row, col) has become a zero byte and a reference to a shared
+        file, which is added as a row without a level. blanks: tiles of one colour; all_content: any."""
+        strategy = self.settings.get("dedupe", "none")
+        if strategy == "none":
+            return written, {}
+        able = ~F.col("blank") if strategy == "all_content" else ~F.col("blank") & F.col("uniform")
+        keyed = written.withColumn("__digest", F.when(able, F.sha2("data", 256)).otherwise(F.concat(F.lit("own "), F.col("path"))))
+        decided = contents.deduped(keyed, "__digest", "level", "row", "col")
+        again = decided.where("decision = 'reference'")
+        shared = shared_path(F.col("__digest"), F.col("path"))
+        references = {r.path: r.shared for r in again.select("path", shared.alias("shared")).toLocalIterator()}
+        files = decided.where("decision = 'write_new'").join(again.select("__digest").distinct(), "__digest", "left_semi").withColumn("path", shared).withColumn("level", F.lit(None).cast("long"))
+        thin = decided.withColumn("data", F.when(F.col("decision") == "reference", F.lit(bytearray(b"\x00"))).otherwise(F.col("data")))
+        return thin.unionByName(files).drop("__digest", "decision"), references
+
     def archive(self, blocks: DataFrame, out: str, stem: str) -> int:
         tiles = self.tiles(blocks)
         return write_archive(tiles.withColumn("data", encoded(F.col("data"), F.col("w"), F.col("h"), F.col("pixel_format"), self.settings.get("tile_format", "png"))), out, stem)
@@ -235,7 +252,10 @@ class PyramidJob:
         spark = blocks.sparkSession
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select(F.regexp_extract("path", r"([0-9]+/[^/]+(?:/[^/]+)?)$", 1).alias("path"), "content")
         raw = self.settings.get("tile_format", "png") == "raw"
-        same = F.col("content") == F.when(F.col("blank"), F.lit(bytearray(b"\x00"))).otherwise(F.col("data")) if raw else F.col("content").isNotNull()
+        placeholder = F.lit(bytearray(b"\x00"))
+        same = F.col("content") == F.when(F.col("blank"), placeholder).otherwise(F.col("data")) if raw else F.col("content").isNotNull()
+        if self.settings.get("dedupe", "none") != "none":
+            same = same | (F.col("content") == placeholder)
         status = F.when(F.col("content").isNull(), "missing").when(same, "ok").otherwise("mismatched")
         n = lambda s: F.count_if(F.col("status") == s).alias(s)
         r = self.tiles(blocks).join(files, "path", "left").select(status.alias("status")).agg(n("ok"), n("missing"), n("mismatched")).first()
