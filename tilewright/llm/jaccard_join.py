@@ -13,7 +13,8 @@ shingles; with fewer words, the whole sequence is one; without words it is empty
    is with its own class and the one below); equal buckets count once. Documents
    that buckets connect are a cluster; most hold a few documents. A cluster of at most BLOCK shingles is a
    block, so each set is sent once. Of larger clusters each bucket is joined, cut into blocks by a hash.
-5. In a block a prefix tree stores the sets (most frequent shingle first, so that near copies share paths);
+5. In a block sets whose prefix is theirs alone drop out again, now by all their shingles. A prefix tree stores
+   the others (most frequent shingle first, so that near copies share paths);
    each set traverses it, carrying the overlap so far, and leaves a subtree when the shingles left on either
    side can't reach the overlap needed, when its sizes don't fit, or when all of it is linked with the set
    already. What comes out is a spanning forest of the links: components keep every link between different
@@ -154,45 +155,60 @@ class PrefixTree:
                 return
             node = child
 
-    def search(self, ranks: np.ndarray, name) -> list:
-        """Links name with every set in reach of another component; the partners by which it did so."""
-        n, p, out = len(ranks), self.percent, []
-        least, most = -(-p * n // 100), 100 * n // p
-        stack = [(self.root, 0, 0, 0)]
+    def search(self, ranks: np.ndarray, name, own: np.ndarray) -> list:
+        """Links name with every set in reach of another component; the partners by which it did so. own: which ranks it has."""
+        n, p, out, find = len(ranks), self.percent, [], self.find
+        least, most, mixed, me = -(-p * n // 100), 100 * n // p, self.MIXED, self.find(name)
+        stack = [(self.root, n, 0, 0)]
         while stack:
-            node, i, overlap, depth = stack.pop()
+            node, left, overlap, depth = stack.pop()
             low, high = max(least, node.least), min(most, node.most)
-            if low > high or node.one is not self.MIXED and node.one is not None and self.find(node.one) == self.find(name):
+            if low > high or node.one is not mixed and node.one is not None and find(node.one) == me:
                 continue
-            if len(run := node.run):
-                at = np.searchsorted(ranks[i:], run) + i
-                overlap += int((ranks[np.minimum(at, n - 1)] == run).sum())
-                i = int(np.searchsorted(ranks, run[-1], side="right"))
+            run = node.run
+            if len(run):
+                overlap += int(np.count_nonzero(own[run]))
+                left = n - int(ranks.searchsorted(run[-1], "right"))
                 depth += len(run)
-            if overlap + min(n - i, high - depth) < needed(n, low, p):
+            if overlap + min(left, high - depth) < -(-p * (n + low) // (100 + p)):
                 continue
             if node.ends and overlap >= needed(n, depth, p):
                 for other in node.ends:
-                    if self.find(other) != self.find(name):
+                    if find(other) != me:
                         self.link(other, name)
+                        me = find(name)
                         out.append(other)
-            stack += [(c, i, overlap, depth) for c in node.children.values()]
+            for c in node.children.values():
+                stack.append((c, left, overlap, depth))
         return out
 
 
 def block_links(names: list[int], components_: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links among the sets of a block that, with the components known, keep all of its links' components."""
-    tree = PrefixTree(percent)
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    tree, sizes = PrefixTree(percent), np.array([len(s) for s in sets])
+    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, alive = np.repeat(np.arange(len(sets)), sizes), np.ones(len(sets), bool)
+    while True:  # a set with a whole prefix of shingles of its own alone links with none
+        held = alive[owner]
+        counts = np.bincount(inverse[held], minlength=len(values))
+        single = np.bincount(owner[held][counts[inverse[held]] == 1], minlength=len(sets))
+        gone = alive & (single >= prefix_length(sizes, percent))
+        if not gone.any():
+            break
+        alive &= ~gone
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, -counts))] = np.arange(len(values))
-    ranks, at, out = rank[inverse], 0, []
+    ranks, first, out = rank[inverse], np.concatenate(([0], np.cumsum(sizes))), []
     for name, component in zip(names, components_):
         tree.link(name, component)
-    for name, s in sorted(zip(names, np.split(ranks, np.cumsum([len(s) for s in sets])[:-1])), key=lambda x: len(x[1])):
-        s = np.sort(s)
-        out += [(name, other) for other in tree.search(s, name)]
-        tree.insert(s, name)
+    own = np.zeros(len(values), bool)
+    for k in np.argsort(sizes, kind="stable").tolist():
+        if alive[k]:
+            s = np.sort(ranks[first[k] : first[k + 1]])
+            own[s] = True
+            out += [(names[k], other) for other in tree.search(s, names[k], own)]
+            own[s] = False
+            tree.insert(s, names[k])
     return out
 
 
