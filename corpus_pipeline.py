@@ -13,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tilewright.llm import decontaminate, jaccard_join, mixing, secret_scan, toxicity
 from tilewright.llm.common import share, table
 
+#: Near copies share this much of their sets of shingles of so many words; op3's contract has its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

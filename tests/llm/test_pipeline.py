@@ -35,3 +35,15 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert abs(sum(x.mix_words for x in out) - 1.5 * sizes) <= 5 and {x.doc_id for x in out} <= set(kept)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "mixing sources"]
     assert all((decontaminate, jaccard_join, mixing, secret_scan))
+
+
+def test_pipeline_drops_edited_near_copies(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(words(r, 100, 5000)), "en", "s0", 1) for i in range(30)]
+    for i, edits in enumerate([(30, 70), (10, 50, 90)]):  # of five words 0.811 and 0.730, of three 0.885 and 0.832
+        w = rows[i][1].split(" ")
+        for at in edits:
+            w[at] = f"edit{at}"
+        rows.append((100 + i, " ".join(w), "en", "s0", 1))
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert kept == {*range(30), 101}

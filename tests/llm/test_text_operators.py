@@ -100,6 +100,20 @@ def test_jaccard_components(corpus, monkeypatch, block):
     assert kept == sorted({r.component_id for r in got.values()})
 
 
+@pytest.mark.parametrize("block", [4_000_000, 300])
+def test_jaccard_of_five_words(corpus, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    sets = {}
+    for r in corpus.collect():
+        w = WS.findall(lower(r.text))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    ids = sorted(sets)
+    pairs = [(i, j) for i, a in enumerate(ids) for j, b in enumerate(ids[:i]) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0]
+    want = {ids[i]: ids[min(g)] for g in _groups(len(ids), pairs) for i in g}
+    got = by_id(jaccard_join.jaccard_components(corpus, words=5, percent=80))
+    assert {i: r.component_id for i, r in got.items()} == want
+
+
 def test_prefix_tree_against_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 60, 60)

@@ -4,7 +4,7 @@ A-Z is lower-cased, words are `[^\x20\x09-\x0D]+`; a set holds the hashes (64 bi
 shingles; with fewer words, the whole sequence is one; without words it is empty and linked with nothing.
 
 1. One pass over the texts: per row the set's size, its fingerprint and its `low` shingles (hashes in the
-   lowest LOW of the hash space, or as many as the prefix needs).
+   lowest LOW * (1 - t) of the hash space, or as many as the prefix needs).
 2. Equal fingerprints are one class; its least doc_id stands for it from here on.
 3. Shingles are globally ordered: low ones first, by (document frequency, hash), then the rest by hash. Two
    sets with the wanted similarity share a shingle within the first n - ceil(t * n) + 1 of each. Frequencies of
@@ -41,7 +41,7 @@ from .components import components
 
 WORDS = 3
 PERCENT = 90
-LOW = 0.16
+LOW = 1.6  # times 1 - t: low shingles are more than a prefix takes, so that it can leave out frequent ones
 BLOCK = 4_000_000  # shingles in a block
 BROADCAST_ROWS = 500_000  # of two integers; beyond that the join shuffles
 SETS = "n_shingles long, print long, low array<long>, n_low int"
@@ -64,13 +64,18 @@ def needed(n: int, m, percent: int = PERCENT):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def low_limit(percent: int = PERCENT) -> int:
+    """Shingles below this hash are low."""
+    return int(min(0.49, LOW * (100 - percent) / 100) * 2**64)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def _sets(text: Column, words: int, percent: int) -> Column:
     """Size, fingerprint, the shingles that may be in the prefix, and how many of these are low."""
-    limit = np.uint64(int(LOW * 2**64))
+    limit = np.uint64(low_limit(percent))
     names = [x.split()[0] for x in SETS.split(", ")]
 
     @F.pandas_udf(SETS)
@@ -259,7 +264,7 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     # written first: a join of two plain exchanges, which Spark can split at hot shingles
     often = share(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-often")
     # the shared shingles of each prefix, rarest first
-    is_high = (F.col("token") < 0) | (F.col("token") >= int(LOW * 2**64))
+    is_high = (F.col("token") < 0) | (F.col("token") >= low_limit(percent))
     entry = F.struct(is_high.alias("high"), F.when(is_high, 0).otherwise(F.col("df")).alias("df"), F.col("token").alias("token"))
     shared = tokens.join(often, "token").groupBy("node", "n_shingles", "n_low").agg(F.array_sort(F.collect_list(entry)).alias("all"))
     low, high = F.filter("all", lambda x: ~x["high"]), F.filter("all", lambda x: x["high"])
