@@ -48,6 +48,29 @@ def test_secret_cases(spark):
     assert got[3].spans == "entropy:4:27" and got[4].spans == ""
 
 
+def test_random_keys_and_clean_names(spark):
+    import random
+
+    r, n = random.Random(7), 1000
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"hex": digits + "abcdef", "base32": upper + "234567", "alnum": upper + lower + digits, "base64": upper + lower + digits + "+/"}
+    rows = []
+    for kind, symbols in kinds.items():
+        for size in (20, 40) if kind != "hex" else (20,):
+            while sum(x[0].startswith(f"{kind} {size}") for x in rows) < n:
+                key = "".join(r.choice(symbols) for _ in range(size))
+                if set(key) & set(digits) and set(key.lower()) & set(lower):
+                    rows.append((f"{kind} {size} {len(rows)}", f"it is {key} here"))
+    got = by_id(secret_scan.secrets(spark.createDataFrame(rows, "doc_id string, text string").repartition(8)))
+    lost = collections.Counter(" ".join(i.split()[:2]) for i, x in got.items() if not x.spans)
+    assert all(k <= 0.02 * n for k in lost.values()), lost
+    named = ["sample_db_key=k9Xz7Qp2Lm4Rt8Vw1Yb3Nc6", "example=K7MDENGbPxRfiCYz9QpLs2tVw", "abcdefgh=q8Zt2Lw9Xk4Rv7Ny1Bm6Jc3=="]
+    clean = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "docs/user-guide/getting-started/part2", "configuration_manager_version_12", "MyVeryLongClassNameVersion2", "your-sample-key-goes-here-1234", "sk=example-placeholder-key-0123456789", "123e4567-e89b-12d3-a456-426614174000", "blog/2024/01/15/some-long-title"]
+    got = by_id(secret_scan.secrets(spark.createDataFrame(list(enumerate(named + clean)), "doc_id long, text string")))
+    assert [got[i].n_entropy for i in range(len(named))] == [1] * len(named)
+    assert {t: got[len(named) + i].n_entropy for i, t in enumerate(clean)} == dict.fromkeys(clean, 0)
+
+
 def test_window_entropy(spark):
     from pyspark.sql import functions as F
 

@@ -4,8 +4,9 @@ Base rules, leftmost and non-overlapping for each kind, matches that fail droppe
 (patterns below; positions in code points, end exclusive). Beside them, candidate strings (20 or more of the
 base64 alphabet with a digit and a letter) are scanned with a sliding window of WINDOW characters: the window's
 symbol counts, and from them sum(c * log2(c)), are updated by the symbol that enters and the one that leaves,
-and the highest Shannon entropy over all windows is held against the limit of the candidate's character class.
-Candidates on the allow list are suppressed (kind `entropy`); base matches never are, and a candidate that
+and the highest Shannon entropy over all windows is held against the limit of the candidate's character class;
+likewise for its value, what follows the last '=' (but padding). Candidates whose whole value is on the allow list
+are suppressed (kind `entropy`); base matches never are, and a candidate that
 overlaps a base match is left to it.
 
 Null or empty text: no spans. Repeated rows: each has its own result. Empty table: empty result. Long texts
@@ -25,10 +26,15 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z]
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Limits in bits for windows of 20: hexadecimal, letters and digits, others.
-LIMITS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
-#: Public examples, identifiers that are no secrets, runs of the alphabet, paths.
-ALLOW = r"(?i)example|sample|dummy|placeholder|xxxx|0123456789|abcdefgh|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[A-Za-z-]+/[A-Za-z0-9/-]+$|^[a-z]+([-_][a-z]+)*[-_]?[0-9]{1,4}$|^\d[\d-]*$"
+#: Limits in bits for windows of 20, by the symbols that a value draws on: of random strings of 20, 1% or fewer are below.
+LIMITS = {"hex": 2.87, "single": 3.34, "alnum": 3.64, "base64": 3.64}
+_WORDS = r"(?:[A-Z][a-z]++|[a-z]++|[A-Z]++(?![a-z]))++"  # no case changes as random letters have them
+_PART = rf"(?:{_WORDS}[0-9]{{0,4}}+|[0-9]{{1,4}}+)(?![A-Za-z0-9])"
+_NAME = rf"{_PART}(?:[-_]++{_PART})*+"
+_RUN = r"0123456789|1234567890|[0-9]{1,4}(?![0-9])|(?i:abcdef(?:gh(?:ijklmnopqrstuvwxyz)?)?|x{4,}+|example|sample|dummy|placeholder|your|test|api|access|secret|token|key)"
+#: What a whole value may be without being a secret: a public example, placeholders and runs of the alphabet, UUIDs, names, paths, numbers.
+ALLOW = rf"^(?:wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|(?:[-_/+]?(?:{_RUN}))++|(?i:[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}})|{_NAME}|/?(?:{_NAME}/++)++(?:{_NAME})?|[0-9][0-9-]*+)$"
+VALUE = "^.*=(?=[^=])"  # what stands before a candidate's value
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 MARK = "[SECRET]"
 
@@ -72,9 +78,15 @@ def max_window_entropy(value: Column, window: int = WINDOW) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["best"])
 
 
-def _random(value: Column) -> Column:
-    limit = F.when(value.rlike("^[0-9A-Fa-f]+$"), LIMITS["hex"]).when(value.rlike("^[A-Za-z0-9]+$"), LIMITS["alnum"]).otherwise(LIMITS["base64"])
-    return ~value.rlike(ALLOW) & (max_window_entropy(value) >= limit)
+def _random(found: Column) -> Column:
+    """Of a candidate: its value is not on the allow list, and it or its value has the entropy of random strings of its class."""
+
+    def high(x: Column) -> Column:
+        limit = F.when(x.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), LIMITS["hex"]).when(x.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), LIMITS["single"])
+        return max_window_entropy(x) >= limit.when(x.rlike("^[A-Za-z0-9]+$"), LIMITS["alnum"]).otherwise(LIMITS["base64"])
+
+    value = F.regexp_replace(found, VALUE, "")
+    return ~value.rlike(ALLOW) & (high(found) | ((value != found) & high(value)))
 
 
 def _joined(spans: Column) -> Column:
