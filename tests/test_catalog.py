@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tilewright import catalog
@@ -17,7 +18,7 @@ def oracle():
 
 
 def plain(v):
-    if v is None or (isinstance(v, (float, np.floating)) and np.isnan(v)):
+    if v is None or (not isinstance(v, (list, tuple, dict, np.ndarray)) and pd.isna(v)):
         return None
     if isinstance(v, (bool, np.bool_)):
         return bool(v)
