@@ -180,13 +180,15 @@ def test_jaccard_odd_rows(odd, odd_rows, none):
 # -- repeated passages
 
 
-def test_suffix_dedup_against_windows(corpus):
+@pytest.mark.parametrize(("hot", "rows"), [(5_000, 20_000), (5_000, 40), (3, 40), (0, 20_000)])
+def test_suffix_dedup_against_windows(corpus, monkeypatch, hot, rows):
+    monkeypatch.setattr(suffix_dedup, "ROWS", rows)
     texts = {r.doc_id: WS.findall(lower(r.text)) for r in corpus.collect()}
     holders = collections.defaultdict(set)
     for i, w in texts.items():
         for k in range(len(w) - 49):
             holders[tuple(w[k : k + 50])].add(i)
-    got = by_id(suffix_dedup.repeated_passages(corpus))
+    got = by_id(suffix_dedup.repeated_passages(corpus, hot=hot))
     found = 0
     for i, w in texts.items():
         hit, later, firsts = set(), set(), []

@@ -7,24 +7,33 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
 
-BATCH_ROWS = 1000  # of texts, which can be long, that a Python worker holds at a time
+#: What a Python worker holds at a time, of texts that can be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+BROADCAST_KEYS = 200_000  # rows of one integer column, so 10 MB at most in a hash relation
 WHITE = b" \t\n\x0b\x0c\r"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepared(spark: SparkSession) -> SparkSession:
+    """For queries: ships the package and bounds Arrow batches for this session, where the user hasn't. Operators change no setting."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    own = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in own:
+            spark.conf.set(key, value)
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; in local mode, a folder of our own where it is unset."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir; in local mode alone (one machine), a folder of our own where it is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -32,22 +41,59 @@ def shared_dir(spark: SparkSession) -> str:
     return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
+_paths: dict[str, SparkSession] = {}
+
+
 def share(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: its lineage ends at files that outlive any executor."""
+    """Write df as Parquet in the shared folder and read it back: its lineage ends at files that outlive any executor.
+    They go with dropped(), or when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
+    if not _paths:
+        atexit.register(_drop_all)
+    _paths[path] = spark
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by share() that no DataFrame in use reads any more."""
+    for df in tables:
+        if (path := getattr(df, "shared_path", None)) in _paths:
+            _delete(_paths.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _drop_all() -> None:
+    for path, spark in _paths.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # the JVM has gone
+            pass
+
+
+def few(keys: DataFrame) -> bool:
+    """Whether a table of one integer column is small enough to be sent to every executor."""
+    return keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+
+
+def semi_joined(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose key is in keys (one integer column of that name); keys are broadcast if their size, which is checked, allows."""
+    return df.join(F.broadcast(keys) if few(keys) else keys, key, how)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM has gone
-        pass
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, case aside."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def encode(text) -> bytes:

@@ -1,20 +1,27 @@
 r"""Suffix-array dedup: passages of LENGTH words or more that several documents hold, by sparse suffix arrays.
 
-A-Z is lower-cased, words are `[^\x20\x09-\x0D]+`.
+A-Z is lower-cased, words are `[^\x20\x09-\x0D]+`; a word is its 64-bit hash.
 
 1. Documents with equal words are one class (what is long enough in it repeats as a whole).
-2. Sparse suffixes: of each document those at minimiser positions, the least hashes of GRAM words in any
+2. Sparse suffixes: of each class those at minimiser positions, the least hashes of GRAM words in any
    LENGTH // 2 positions in a row. A shared passage has the same minimisers in all documents, one of them in
    its first half, so a suffix that begins there stays in the passage for SEED words.
-3. The suffixes are sorted by their first SEED words (as a 64-bit hash) and neighbours compared: those with no
-   equal neighbour in another document drop out.
-4. What is left is extended left and right: all windows of LENGTH words around a seed are compared with those
-   around equal seeds, again by neighbours in hash order. The equal ones, merged, are the maximal matches of
-   LENGTH words or more; none is lost, and no pairs of documents are formed.
-
-Hot seeds (passages that many documents share) are aggregated before they are shuffled and joined by joins that
-Spark splits when skewed. Null or short texts (fewer than LENGTH words): nothing repeats. Rows that share a
-doc_id are one document. Null doc_id: nothing is looked for. Empty table: empty result.
+3. A suffix whose first SEED words (as one 64-bit hash) no other class has can't match and drops out before any
+   words are moved. The others are dealt by those words, so that suffixes which can match meet, with the words
+   that follow and precede them, LENGTH - SEED on either side.
+4. Suffix arrays: in each part the suffixes are sorted by their first SEED words, then word by word, and neighbours
+   are compared: the words that two neighbours share bound those that all between them share. The same suffixes
+   are sorted and compared by the words before them, backwards. For each number d of words to the left, the
+   suffixes that share d words to the left and LENGTH - d to the right are one group of the two orders; if
+   it has several documents, the window is in all of them. Windows that follow one another are one range: the match,
+   extended left and right. Matches longer than that are found from each of their minimisers and merged by document.
+5. A group of more than HOT suffixes (a passage that very many documents hold) isn't sorted in one task: its windows are
+   aggregated by their hash, in partial sums before the shuffle, to the same result.
+
+No pairs of documents are formed, and none of the windows is lost. Null or short texts (fewer than LENGTH words):
+nothing repeats. Long texts: in whole; a row's suffixes are what a task holds of it. Ties (equal suffixes) are one
+group, their order is free. Rows that share a doc_id are one document: what only they share is not repeated. Null
+doc_id: nothing is looked for. Extra columns are not read. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +33,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_words, share, window_hashes, word_hashes
+from .common import lower_words, semi_joined, share, window_hashes, word_hashes
 
 LENGTH = 50
 GRAM = 8
-BROADCAST_ROWS = 500_000
+HOT = 5_000  # suffixes with the same first words that one task sorts
+ROWS = 20_000  # suffixes compared at a time
+FRAGMENTS = "seed array<long>, right array<binary>, left array<binary>"
+RANGES = "print long, doc long, a int, b int, first long"
 
 
 def seed_length(length: int) -> int:
@@ -58,6 +68,10 @@ def minimisers(h: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndar
     return at[at + seed_length(length) <= len(h)]
 
 
+def _print(h: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+
+
 def _suffixes(text: Column, length: int, gram: int) -> Column:
     @F.pandas_udf("n_words long, print long, at array<int>, seed array<long>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -67,76 +81,197 @@ def _suffixes(text: Column, length: int, gram: int) -> Column:
                 h = word_hashes(lower_words(t))
                 at = minimisers(h, length, gram)
                 seeds = window_hashes(h, seed_length(length))[at] if len(at) else np.empty(0, np.uint64)
-                rows.append((len(h), xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63), at.astype(np.int32), seeds.view(np.int64)))
+                rows.append((len(h), _print(h), at.astype(np.int32), seeds.view(np.int64)))
             yield pd.DataFrame(rows, columns=["n_words", "print", "at", "seed"])
 
     return found(text)
 
 
-def _windows(text: Column, at: Column, length: int) -> Column:
-    """Starts and hashes of the windows that hold a whole seed of `at`."""
+def surroundings(h: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the suffixes at `at` the words after their first seed_length(length), and those before them, nearest first; 0 beyond the text."""
+    seed = seed_length(length)
+    more = length - seed
+    padded = np.concatenate((np.zeros(more, np.uint64), h, np.zeros(more, np.uint64)))
+    step = np.arange(more)
+    return padded[at[:, None] + more + seed + step], padded[at[:, None] + more - 1 - step]
+
+
+def _fragments(text: Column, print_: Column, at: Column, length: int) -> Column:
+    """The suffixes of a text at `at`, with their surroundings; none of a text that isn't the one of that print."""
+
+    def pieces(x: np.ndarray) -> list[bytes]:
+        raw, n = x.astype(">u8").tobytes(), 8 * x.shape[1]
+        return [raw[i : i + n] for i in range(0, len(raw), n)]
+
+    @F.pandas_udf(FRAGMENTS)
+    def found(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, prints, places in batches:
+            rows = []
+            for t, own, p in zip(texts, prints, places):
+                h, p = word_hashes(lower_words(t)), np.asarray(p, np.int64)
+                if _print(h) != own or not len(p):
+                    rows.append(([], [], []))
+                    continue
+                right, left = surroundings(h, p, length)
+                rows.append((window_hashes(h, seed_length(length))[p].view(np.int64), pieces(right), pieces(left)))
+            yield pd.DataFrame(rows, columns=["seed", "right", "left"])
+
+    return found(text, print_, at)
+
+
+def _shared(rows: np.ndarray) -> np.ndarray:
+    """Of each row but the first, how many leading columns it shares with the one before."""
+    differ = rows[1:] != rows[:-1]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+
+
+def matches(seed: np.ndarray, right: np.ndarray, left: np.ndarray, doc: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of suffixes sorted by (seed, right): (suffix, least d, greatest d, least document) of the ranges of windows that
+    begin d words before it and are in several documents."""
+    m, more = right.shape
+    ordered = np.concatenate((seed.view(np.uint64)[:, None], right), axis=1)
+    share_right = np.concatenate(([0], _shared(ordered)))
+    backwards = np.concatenate((seed.view(np.uint64)[:, None], left), axis=1)
+    by_left = np.argsort(np.ascontiguousarray(backwards.astype(">u8")).view(f"S{8 * (more + 1)}").ravel(), kind="stable")
+    share_left = np.concatenate(([0], _shared(backwards[by_left])))
+    first = np.zeros((m, more + 1), np.int64)
+    hit = np.zeros((m, more + 1), bool)
+    group_left = np.empty(m, np.int64)
+    for d in range(more + 1):
+        e = more - d
+        able = np.ones(m, bool)
+        if d:
+            able &= left[:, d - 1] != 0
+        if e:
+            able &= right[:, e - 1] != 0
+        group_left[by_left] = np.cumsum(share_left < d + 1)
+        rows = np.flatnonzero(able)
+        key = (np.cumsum(share_right < e + 1) * (m + 1) + group_left)[rows]
+        by = np.argsort(key, kind="stable")
+        key, rows = key[by], rows[by]
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(rows) else np.empty(0, np.int64)
+        if len(begin) == len(rows):
+            continue
+        least = np.minimum.reduceat(doc[rows], begin)
+        several, size = least < np.maximum.reduceat(last[rows], begin), np.diff(begin, append=len(rows))
+        first[rows, d], hit[rows, d] = np.repeat(least, size), np.repeat(several, size)
+    same = hit[:, 1:] & hit[:, :-1] & (first[:, 1:] == first[:, :-1])
+    no = np.zeros((m, 1), bool)
+    begins, ends = hit & ~np.concatenate((no, same), axis=1), hit & ~np.concatenate((same, no), axis=1)
+    suffix, low = np.nonzero(begins)
+    high = np.nonzero(ends)[1]
+    return suffix, low, high, first[suffix, low]
+
+
+def _neighbours(fragments: DataFrame, length: int) -> DataFrame:
+    """fragments (seed, right, left, print, doc, last, at), sorted and compared -> RANGES of window starts."""
+    more = length - seed_length(length)
+    columns = ["seed", "right", "left", "print", "doc", "last", "at"]
+
+    def compared(held: list[pd.DataFrame]) -> pd.DataFrame:
+        f = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+        words = lambda c: np.frombuffer(b"".join(f[c]), ">u8").astype(np.uint64).reshape(len(f), more)
+        at = f["at"].to_numpy(np.int64)
+        suffix, low, high, first = matches(f["seed"].to_numpy(np.int64), words("right"), words("left"), f["doc"].to_numpy(np.int64), f["last"].to_numpy(np.int64))
+        return pd.DataFrame({"print": f["print"].to_numpy()[suffix], "doc": f["doc"].to_numpy()[suffix], "a": (at[suffix] - high).astype(np.int32), "b": (at[suffix] - low).astype(np.int32), "first": first})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            seeds = batch["seed"].to_numpy()
+            new = np.flatnonzero(seeds[1:] != seeds[:-1]) + 1
+            if held and seeds[0] != held[-1]["seed"].iloc[-1]:
+                new = np.concatenate(([0], new))
+            if n + len(batch) > ROWS and len(new):  # whole groups of equal seeds go; the last one waits for its rest
+                held.append(batch.iloc[: new[-1]])
+                yield compared(held)
+                held, n, batch = [], 0, batch.iloc[new[-1] :]
+            held.append(batch)
+            n += len(batch)
+        if n:
+            yield compared(held)
+
+    return fragments.select(columns).repartition("seed").sortWithinPartitions("seed", "right", "left").mapInPandas(run, RANGES)
+
+
+def _hot_windows(text: Column, print_: Column, at: Column, length: int) -> Column:
+    """Starts and hashes of the windows around the suffixes at `at` that hold their first words."""
 
     @F.pandas_udf("start array<int>, hash array<long>")
-    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         reach = length - seed_length(length)
-        for texts, places in batches:
+        for texts, prints, places in batches:
             rows = []
-            for t, p in zip(texts, places):
-                all_ = window_hashes(word_hashes(lower_words(t)), length)
+            for t, own, p in zip(texts, prints, places):
+                h = word_hashes(lower_words(t))
+                all_ = window_hashes(h, length)
                 around = np.unique(np.add.outer(np.asarray(p, np.int64), -np.arange(reach + 1)))
-                around = around[(around >= 0) & (around < len(all_))]
+                around = around[(around >= 0) & (around < len(all_))] if _print(h) == own else around[:0]
                 rows.append((around.astype(np.int32), all_[around].view(np.int64)))
             yield pd.DataFrame(rows, columns=["start", "hash"])
 
-    return found(text, at)
+    return found(text, print_, at)
 
 
-def _merged(starts: Column, firsts: Column, doc: Column, length: int) -> Column:
-    """Merged spans of windows, their words, and the words of windows that an earlier document holds."""
+def _hot_ranges(texts: DataFrame, length: int) -> DataFrame:
+    """RANGES of single windows around hot suffixes; texts (text, print, doc, last, at)."""
+    windows = share(texts.select("print", "doc", "last", _hot_windows(F.col("text"), F.col("print"), F.col("at"), length).alias("w")).select("print", "doc", "last", "w.*"), "suffix-windows")
+    each = windows.select("print", "doc", "last", F.explode(F.arrays_zip("start", "hash")).alias("w")).select("print", "doc", "last", F.col("w.start").alias("a"), F.col("w.hash").alias("hash"))
+    # written first: a join of two plain exchanges, which Spark can split at hot windows
+    same = share(each.groupBy("hash").agg(F.min("doc").alias("first"), F.max("last").alias("most")).where("first < most").select("hash", "first"), "suffix-same")
+    return each.join(same, "hash").select("print", "doc", "a", F.col("a").alias("b"), "first")
 
-    @F.pandas_udf("starts array<int>, ends array<int>, n_repeat_words long, n_later_words long")
-    def merged(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        def spans(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            x = np.sort(x)
-            cut = np.flatnonzero(np.diff(x) > length)
-            return x[np.concatenate(([0], cut + 1))], x[np.concatenate((cut, [len(x) - 1]))] + length
 
-        for s, f, d in batches:
+def _merged(a: Column, b: Column, firsts: Column, doc: Column, length: int) -> Column:
+    """Merged spans of ranges of windows, their words, and the words of windows that an earlier document holds."""
+
+    def spans(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(a, kind="stable")
+        a, reach = a[by], np.maximum.accumulate(b[by] + length)
+        new = np.concatenate(([True], a[1:] > reach[:-1]))
+        return a[new], reach[np.concatenate((new[1:], [True]))]
+
+    @F.pandas_udf("starts array<int>, ends array<int>, n_repeat_words long, n_later_words long")
+    def merged(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
             rows = []
-            for x, first, own in zip(s, f, d):
-                x, first = np.asarray(x, np.int64), np.asarray(first)
-                a, b = spans(x)
-                later = x[first < own]
-                c, e = spans(later) if len(later) else (np.zeros(1), np.zeros(1))
-                rows.append((a.astype(np.int32), b.astype(np.int32), int((b - a).sum()), int((e - c).sum())))
+            for x, y, f, own in zip(*batch):
+                x, y = np.asarray(x, np.int64), np.asarray(y, np.int64)
+                s, e = spans(x, y)
+                later = np.asarray(f) < own
+                c, g = spans(x[later], y[later]) if later.any() else (np.zeros(1), np.zeros(1))
+                rows.append((s.astype(np.int32), e.astype(np.int32), int((e - s).sum()), int((g - c).sum())))
             yield pd.DataFrame(rows, columns=["starts", "ends", "n_repeat_words", "n_later_words"])
 
-    return merged(starts, firsts, doc)
+    return merged(a, b, firsts, doc)
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_repeat_words (in passages that another document holds too), n_later_words (in passages
     that a document with a lesser doc_id holds), first_doc_id (the least document that shares a passage, itself
     included; null if nothing repeats), spans (of the repeated passages, start:end in words, comma-joined).
     doc_id must be an integer."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    hot = HOT if hot is None else hot
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = share(docs.select("doc_id", _suffixes(F.col("text"), length, gram).alias("s")).select("doc_id", "s.*"), "suffix-rows")
     long_ = rows.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= length))
     classes = long_.groupBy("print", "n_words").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.any_value("at").alias("at"), F.any_value("seed").alias("seed"))
     classes = share(classes, "suffix-classes")
-    suffixes = classes.select("print", "doc", F.explode(F.arrays_zip("at", "seed")).alias("s")).select("print", "doc", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
-    # written first: a join of two plain exchanges, which Spark can split at hot seeds
-    equal = share(suffixes.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("seed"), "suffix-equal")
-    seeds = share(suffixes.join(equal, "seed").groupBy("print", "doc").agg(F.collect_list("at").alias("at")), "suffix-seeds")
-    wanted = seeds.select("print", F.col("doc").alias("doc_id"))
-    small = wanted.count() <= BROADCAST_ROWS
-    # the texts of those documents alone, once for each class
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").withColumn("own", _print(F.col("text"))).where("own = print").select("print", "text").join(seeds, "print")
-    windows = share(texts.select("print", "doc", _windows(F.col("text"), F.col("at"), length).alias("w")).select("print", "doc", "w.*"), "suffix-windows")
-    each = windows.select("print", "doc", F.explode(F.arrays_zip("start", "hash")).alias("w")).select("print", "doc", F.col("w.start").alias("start"), F.col("w.hash").alias("hash"))
-    same = share(each.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("hash", "first"), "suffix-same")
-    hits = each.join(same, "hash").groupBy("print", "doc").agg(F.collect_list("start").alias("start"), F.collect_list("first").alias("firsts"), F.min("first").alias("first"))
-    passages = hits.select("print", "first", _merged(F.col("start"), F.col("firsts"), F.col("doc"), length).alias("m")).select("print", "first", "m.*")
+    suffixes = classes.select("print", "doc", "last", F.explode(F.arrays_zip("at", "seed")).alias("s")).select("print", "doc", "last", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
+    # suffixes that share their first words with another class; written first, so that Spark can split the join at hot ones
+    equal = suffixes.groupBy("seed").agg(F.min("doc").alias("x"), F.max("last").alias("y"), F.min("print").alias("p"), F.max("print").alias("q"), F.count("*").alias("n")).where("x < y and p < q")
+    equal = share(equal.select("seed", (F.col("n") > hot).alias("hot")), "suffix-equal")
+    place = lambda is_hot: F.collect_list(F.when(F.col("hot") == is_hot, F.col("at")))
+    seeds = share(suffixes.join(equal, "seed").groupBy("print", "doc", "last").agg(place(False).alias("cold"), place(True).alias("hot")), "suffix-seeds")
+    # the texts of those documents alone
+    texts = semi_joined(docs, seeds.select(F.col("doc").alias("doc_id")), "doc_id").join(seeds.withColumnRenamed("doc", "doc_id"), "doc_id").withColumnRenamed("doc_id", "doc")
+    own = texts.where(F.size("cold") > 0).select("print", "doc", "last", F.col("cold").alias("at"), _fragments(F.col("text"), F.col("print"), F.col("cold"), length).alias("f")).where(F.size("f.seed") > 0)
+    each = own.select("print", "doc", "last", F.explode(F.arrays_zip("at", F.col("f.seed").alias("seed"), F.col("f.right").alias("right"), F.col("f.left").alias("left"))).alias("s")).select("print", "doc", "last", "s.*")
+    ranges = _neighbours(each, length)
+    if not equal.where("hot").isEmpty():
+        ranges = ranges.unionByName(_hot_ranges(texts.where(F.size("hot") > 0).withColumn("at", F.col("hot")), length))
+    hits = ranges.groupBy("print", "doc").agg(*(F.collect_list(c).alias(c) for c in ("a", "b")), F.collect_list("first").alias("firsts"), F.min("first").alias("first"))
+    passages = hits.select("print", "first", _merged(F.col("a"), F.col("b"), F.col("firsts"), F.col("doc"), length).alias("m")).select("print", "first", "m.*")
     # whole texts that several documents hold
     whole = F.col("last") > F.col("doc")
     text_spans = F.array_join(F.zip_with("starts", "ends", lambda a, b: F.concat_ws(":", a.cast("string"), b.cast("string"))), ",")
@@ -151,12 +286,3 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         F.when(whole, F.least(F.col("doc"), F.col("first"))).otherwise(F.col("first")).alias("first_doc_id"),
         F.when(whole, F.concat_ws(":", F.lit("0"), F.col("n_words").cast("string"))).otherwise(F.coalesce("spans", F.lit(""))).alias("spans"),
     )
-
-
-def _print(text: Column) -> Column:
-    @F.pandas_udf("long")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([xxhash.xxh3_64_intdigest(word_hashes(lower_words(t)).tobytes()) - (1 << 63) for t in texts], dtype="int64")
-
-    return found(text)
