@@ -11,22 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.llm import decontaminate, jaccard_join, mixing, secret_scan, toxicity
-from tilewright.llm.common import share, table
+from tilewright.llm.common import prepared, share, table
 
 #: Near copies share this much of their sets of shingles of so many words; op3's contract has its own.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, table(prepared(spark), sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepared(spark)
     return jaccard_join.one_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminated(docs, table(prepared(spark), sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(prepared(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = share(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
