@@ -3,14 +3,18 @@ r"""Secret scans with DataFrame functions only.
 Base rules, leftmost and non-overlapping for each kind, matches that fail dropped: `assign`, `access`, `hex`
 (patterns below; positions in code points, end exclusive). Beside them, candidate strings (20 or more of the
 base64 alphabet with a digit and a letter) are scanned with a sliding window of WINDOW characters: the window's
-symbol counts, and from them sum(c * log2(c)), are updated by the symbol that enters and the one that leaves,
-and the highest Shannon entropy over all windows is held against the limit of the candidate's character class;
-likewise for its value, what follows the last '=' (but padding). Candidates whose whole value is on the allow list
-are suppressed (kind `entropy`); base matches never are, and a candidate that
+symbol counts (packed into a few integers), and from them sum(c * log2(c)), are updated by the symbol that enters
+and the one that leaves, and the highest Shannon entropy over all windows is held against the limit of the
+candidate's character class; likewise for its value, what follows the last '=' (but padding). Candidates whose
+whole value is on the allow list are suppressed (kind `entropy`); base matches never are, and a candidate that
 overlaps a base match is left to it.
 
-Null or empty text: no spans. Repeated rows: each has its own result. Empty table: empty result. Long texts
-are scanned whole; time is linear in their length and the entropy scan's in the candidates'.
+Every pattern runs over a text once. Places are running sums of the lengths between and in matches, overlaps
+running maxima, each in log2(n) passes over an array of n matches, so that time is linear in the text but for that
+factor, however many matches or however long a candidate.
+
+Null or empty text: no spans. Repeated rows and ties: each row has its own result. Empty table: empty result. Long
+texts are scanned whole. Extra columns: `secrets` reads none, `redacted` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import unused
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the same as runs of [0-9a-f] with 24 or more
@@ -37,44 +43,94 @@ ALLOW = rf"^(?:wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|(?:[-_/+]?(?:{_RUN}))++|
 VALUE = "^.*=(?=[^=])"  # what stands before a candidate's value
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 MARK = "[SECRET]"
+EDGE, OTHER = "\x01", "\x02"  # a character that no pattern has marks matches; where a text has it, another stands for it
+PIECE = 256  # code points
+COUNTERS, BITS = 12, 5  # window counts in an integer, bits of each (a count is at most WINDOW + 1)
+FURTHEST = 2**31 - 1
+
+
+def _let(value: Column, f) -> Column:
+    """f(value) with value worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _running(values: Column, combine, back: bool = False) -> Column:
+    """Of an array, what combine makes of all values up to each one (from each one on): doubling distances, log2(n) passes."""
+
+    def scanned(v: Column) -> Column:
+        def step(acc, d):
+            return F.transform(acc, lambda x, i: F.coalesce(combine(x, F.get(acc, i + d if back else i - d)), x))
+
+        return F.aggregate(F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda d: d < F.size(v)), v, step)
+
+    return _let(values, scanned)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _greatest(a: Column, b: Column) -> Column:
+    return F.when(b > a, b).otherwise(a)
+
 
+def _least(a: Column, b: Column) -> Column:
+    return F.when(b < a, b).otherwise(a)
 
-def _spans(text: Column, pattern: str, kind: int, keep=None, part: int = 0) -> Column:
-    """Matches with their places: the lengths of the gaps (split) and of the matches, summed up."""
-    gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(gaps, F.arrays_zip(whole.alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(part)).alias("part")), lambda g, m: F.struct(g.alias("gap"), m["whole"].alias("whole"), m["part"].alias("part")))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["part"].alias("value"))
-        wanted = x["whole"].isNotNull() & (keep(x["part"]) if keep else F.lit(True))
-        return F.struct(end.alias("at"), F.when(wanted, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
+    """Matches with their places; text has no EDGE."""
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    def placed(parts: Column) -> Column:
+        ends = _running(F.transform(parts, F.length), _plus)
+        both = F.zip_with(parts, ends, lambda x, end: F.struct((end - F.length(x)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x.alias("value")))
+        wanted = F.filter(both, lambda s, i: (i % 2 == 1) & (keep(s["value"]) if keep else F.lit(True)))
+        return F.when(F.size(parts) > 1, wanted).otherwise(F.array().cast(SPAN)).cast(SPAN)
+
+    # every second part is a match
+    return _let(F.split(F.regexp_replace(text, pattern, f"{EDGE}$0{EDGE}"), EDGE, -1), placed)
+
+
+def _apart(base: Column, found: Column) -> Column:
+    """Spans found that overlap none of base."""
+
+    def kept(spans: Column) -> Column:
+        reach = _running(F.transform(spans, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(0)), _greatest)
+        ahead = _running(F.transform(spans, lambda s: F.when(s["kind"] < 3, s["start"]).otherwise(FURTHEST)), _least, back=True)
+        near = F.zip_with(reach, ahead, lambda r, a: F.struct(r.alias("reach"), a.alias("ahead")))
+        each = F.zip_with(spans, near, lambda s, n: F.struct(s.alias("s"), ((s["kind"] == 3) & (n["reach"] <= s["start"]) & (n["ahead"] >= s["end"])).alias("free")))
+        return F.transform(F.filter(each, lambda x: x["free"]), lambda x: x["s"])
+
+    return F.when((F.size(base) == 0) | (F.size(found) == 0), found).otherwise(_let(F.array_sort(F.concat(base, found)), kept))
 
 
 def max_window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of any `window` consecutive characters of value (of ALPHABET)."""
+    """The highest Shannon entropy, in bits, of any `window` consecutive characters of value (of ALPHABET).
+
+    Symbol k's count is BITS bits of the integer k // COUNTERS: a step adds one for the symbol that enters and takes one off for
+    the one that leaves, and nothing is copied."""
     weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
-    symbols = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(ALPHABET)))
-    steps = F.zip_with(symbols, F.concat(F.array_repeat(F.lit(0), window), symbols), lambda i, o: F.struct(i.alias("enters"), o.alias("leaves")))
-    steps = F.filter(steps, lambda s: s["enters"].isNotNull())
-    at = lambda counts, k: F.element_at(counts, k)
+    symbols = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
+    steps = F.zip_with(symbols, F.concat(F.array_repeat(F.lit(-1), window), symbols), lambda i, o: F.struct(i.alias("enters"), o.alias("leaves")))
+    steps = F.filter(steps, lambda s: s["enters"] >= 0)
+    names = [f"c{j}" for j in range(-(-len(ALPHABET) // COUNTERS))]
+    zero = F.lit(0).cast("long")
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), BITS * (k % COUNTERS))
+    at = lambda acc, j: F.coalesce(*(F.when(j == i, acc[c]) for i, c in enumerate(names)))
+    read = lambda packed, k: F.call_function("shiftright", packed, BITS * (k % COUNTERS)).bitwiseAND((1 << BITS) - 1).cast("int")
+    word = lambda k: F.floor(k / COUNTERS).cast("int")
 
     def step(acc, s):
-        n = at(acc["counts"], s["enters"])
-        added = acc["sum"] + F.element_at(weight, n + 2) - F.element_at(weight, n + 1)
-        counts = F.transform(acc["counts"], lambda c, j: c + F.when(j + 1 == s["enters"], 1).otherwise(0))
-        m = F.when(s["leaves"] > 0, at(counts, F.greatest(s["leaves"], F.lit(1)))).otherwise(0)
-        total = added + F.when(s["leaves"] > 0, F.element_at(weight, F.greatest(m, F.lit(1))) - F.element_at(weight, m + 1)).otherwise(0.0)
-        counts = F.transform(counts, lambda c, j: c - F.when(j + 1 == s["leaves"], 1).otherwise(0))
+        i, o = s["enters"], s["leaves"]
+        n = read(at(acc, word(i)), i)
+        m = F.when(o == i, n + 1).when(o >= 0, read(at(acc, word(o)), o))  # o's count when i has entered
+        total = acc["sum"] + F.get(weight, n + 1) - F.get(weight, n) + F.when(o >= 0, F.get(weight, m - 1) - F.get(weight, m)).otherwise(0.0)
+        counts = [(acc[c] + F.when(word(i) == j, one(i)).otherwise(zero) - F.when((o >= 0) & (word(o) == j), one(o)).otherwise(zero)).alias(c) for j, c in enumerate(names)]
         seen = acc["seen"] + 1
         bits = F.when(seen >= window, math.log2(window) - total / window).otherwise(0.0)
-        return F.struct(counts.alias("counts"), total.alias("sum"), seen.alias("seen"), F.greatest(acc["best"], bits).alias("best"))
+        return F.struct(*counts, total.alias("sum"), seen.alias("seen"), F.greatest(acc["best"], bits).alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("seen"), F.lit(0.0).alias("best"))
+    start = F.struct(*(zero.alias(c) for c in names), F.lit(0.0).alias("sum"), F.lit(0).alias("seen"), F.lit(0.0).alias("best"))
     return F.aggregate(steps, start, step, lambda acc: acc["best"])
 
 
@@ -94,18 +150,18 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def with_secrets(docs: DataFrame, base: str, more: str, text: str = "text") -> DataFrame:
-    """docs with two columns of spans (SPAN, by start, then kind): the base rules' and the entropy scan's."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    found = F.concat(_spans(t, ASSIGN, 0, lambda v: F.length(v) >= 6, 2), _spans(t, ACCESS, 1, lambda v: F.length(v) >= 20), _spans(t, HEX, 2))
-    docs = docs.withColumn(base, F.array_sort(found))
-    apart = lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return docs.withColumn(more, F.filter(F.filter(_spans(t, CANDIDATE, 3), apart), lambda s: _random(s["value"])))
+def base_and_more(text: Column) -> tuple[Column, Column]:
+    """Spans (SPAN, by start, then kind) of the base rules, and a function of these for those of the entropy scan."""
+    t = F.translate(F.coalesce(text, F.lit("")), EDGE, OTHER)
+    long_enough = lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 6
+    base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, long_enough), _spans(t, ACCESS, 1, lambda v: F.length(v) >= 20), _spans(t, HEX, 2)))
+    return base, lambda known: F.filter(_apart(known, _spans(t, CANDIDATE, 3)), lambda s: _random(s["value"]))
 
 
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy."""
-    found = with_secrets(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "base", "more")
+    base, more = base_and_more(F.col("text"))
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("base", base).withColumn("more", more(F.col("base")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id",
@@ -116,18 +172,31 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
-    """docs with every secret in text replaced by MARK (overlapping ones by one); null stays null, other columns as they were."""
-    found = with_secrets(docs, "__base", "__more", text)
-    t = F.col(text)
+def _masked(text: Column, spans: Column) -> Column:
+    """text with MARK for each run of overlapping spans (by start). It is read in pieces, so that a cut costs a piece, not the text."""
 
-    def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    def whole(pieces: Column, s: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            i = F.floor(a / PIECE).cast("int")
+            n = F.floor((b - 1) / PIECE).cast("int") - i + 1
+            return F.when(b > a, F.substring(F.array_join(F.slice(pieces, i + 1, n), ""), a - i * PIECE + 1, b - a)).otherwise(F.lit(""))
+
+        before = F.concat(F.array(F.lit(0)), _running(F.transform(s, lambda x: x["end"]), _greatest))
+        # the entry after the last span is the text's rest
+        parts = F.zip_with(before, F.transform(s, lambda x: x["start"]), lambda b, a: F.when(a.isNull(), cut(b, F.length(text))).when(a >= b, F.concat(cut(b, a), F.lit(MARK))).otherwise(F.lit("")))
+        return F.array_join(parts, "")
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda p: _let(spans, lambda s: whole(p, s)))
 
-    all_spans = F.array_sort(F.concat("__base", "__more"))
-    cut = F.aggregate(all_spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    out = found.withColumn("__cut", F.when(F.size(all_spans) > 0, cut).otherwise(t))
+
+def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
+    """docs with every secret in text replaced by MARK (overlapping ones by one); null stays null, other columns as they were."""
+    base_spans, more_spans = base_and_more(F.col(text))
+    base, more, cut = (unused(c, docs) for c in ("base", "more", "cut"))
+    found = docs.withColumn(base, base_spans).withColumn(more, more_spans(F.col(base)))
+    all_spans = F.array_sort(F.concat(base, more))
+    out = found.withColumn(cut, F.when(F.size(base) + F.size(more) > 0, _masked(F.col(text), all_spans)).otherwise(F.col(text)))
+    changed = {text: F.col(cut)}
     if n_chars and n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.size(all_spans) > 0, F.length("__cut")).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
-    return out.withColumn(text, F.col("__cut")).select(*docs.columns)
+        changed[n_chars] = F.when(F.size(base) + F.size(more) > 0, F.length(cut)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType)
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
