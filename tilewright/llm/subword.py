@@ -167,4 +167,4 @@ class SubwordModel:
                 at = a + int(np.argmax(m[a : b - self.window + 1]))
                 a, b = at, at + self.window
             z = (sums[:, b] - sums[:, a]) / (b - a) + self._bias
-            out[i] = z if len(z) > 1 else (0, z[0])
+            out[i] = (0, z[0]) if len(self.classes) == 2 else z

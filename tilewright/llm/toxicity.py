@@ -1,12 +1,15 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax (subword.py), over windows of four words.
 
-The model learns from a bounded sample of labelled rows: at most MAX_PER_CLASS documents of each label, the
-first by a hash of doc_id, of at most MAX_TRAIN_CHARS characters. Rows whose crc32(doc_id as text) mod 5 is 0
-are held out of it. Every whole text is scored, by its strongest window.
+The model learns from a bounded sample of labelled rows: at most MAX_PER_CLASS documents of each label, those of at
+most TRAIN_CHARS characters first, then by a hash of doc_id; of a longer text the first TRAIN_CHARS are learned from
+(so long texts are used where there are not enough others). Rows whose crc32(doc_id as text) mod 5 is 0 are held
+out of it. Every whole text is scored, however long, by its strongest window.
 
 Null or empty text, or one without words: score 0.0, predicted 0. Null labels are ignored; conflicting labels
-of a document count as toxic. Null doc_id: scored, not held out. Repeated rows: each is scored. Without
-labelled rows of both classes every score is 0.0.
+of a document count as toxic. Null doc_id: scored, not held out. Repeated rows: each is scored; rows that share a
+doc_id are one labelled document, with the least of their texts. Ties: the first window. Without labelled rows of
+both classes every score is 0.0. Empty table: empty result. Extra columns are kept by without_toxic, whatever their
+names, and not read otherwise.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import unused
 from .subword import SubwordModel
 
 MAX_PER_CLASS = 1500
-MAX_TRAIN_CHARS = 20_000
+TRAIN_CHARS = 20_000
 FOLDS, FOLD = 5, 0
 WINDOW = 4
 
@@ -33,10 +37,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Fits on the driver; what it collects is bounded by the two constants above."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").cast("int").alias("y"))
     known = known.where(~held_out("id", FOLDS, FOLD))
-    order = [F.xxhash64("id"), F.col("id")]
-    picked = known.where("y = 0").orderBy(*order).limit(max_per_class).unionByName(known.where("y = 1").orderBy(*order).limit(max_per_class))
-    # at most 2 * max_per_class rows of two numbers
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where(F.length("t") <= MAX_TRAIN_CHARS).join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("t").alias("t")).orderBy("id").collect()
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("t is not null")
+    # thin rows: of texts their length alone
+    sized = texts.select("id", F.length("t").alias("n")).join(known, "id").groupBy("id", "y").agg(F.min("n").alias("n"))
+    order = [F.col("n") > TRAIN_CHARS, F.xxhash64("id"), F.col("id")]
+    picked = sized.where("y = 0").orderBy(*order).limit(max_per_class).unionByName(sized.where("y = 1").orderBy(*order).limit(max_per_class)).select("id", "y")
+    # at most 2 * max_per_class rows of two numbers; texts are cut before they move
+    rows = texts.join(F.broadcast(picked), "id").select("id", "y", F.substring("t", 1, TRAIN_CHARS).alias("t")).groupBy("id", "y").agg(F.min("t").alias("t")).orderBy("id").collect()
     if len({r.y for r in rows}) < 2:
         return None
     return SubwordModel([0, 1], window=WINDOW).fit([r.t for r in rows], [r.y for r in rows], epochs=8, warm=1)
@@ -61,4 +68,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents scored 0.5 or more; columns and other rows as they were."""
     model = train(docs, labels, doc_id, text)
-    return docs.withColumn("__toxic_score", score_column(model, F.col(text))).where("__toxic_score < 0.5").drop("__toxic_score")
+    score = unused("toxic_score", docs)
+    return docs.withColumn(score, score_column(model, F.col(text))).where(F.col(score) < 0.5).drop(score)
