@@ -15,8 +15,10 @@ A-Z is lower-cased, words are `[^\x20\x09-\x0D]+`; a word is its 64-bit hash.
    suffixes that share d words to the left and LENGTH - d to the right are one group of the two orders; if
    it has several documents, the window is in all of them. Windows that follow one another are one range: the match,
    extended left and right. Matches longer than that are found from each of their minimisers and merged by document.
-5. A group of more than HOT suffixes (a passage that very many documents hold) isn't sorted in one task: its windows are
-   aggregated by their hash, in partial sums before the shuffle, to the same result.
+5. A group of more than about HOT suffixes (a passage that very many documents hold) is dealt to several shards, each
+   sorted and compared by itself. Of each group of equal windows in a shard one representative, with the least and the
+   last of its documents, is compared with those of the other shards, by a hash of the window; what is then known to be
+   in several documents goes back to the shards that have it.
 
 No pairs of documents are formed, and none of the windows is lost. Null or short texts (fewer than LENGTH words):
 nothing repeats. Long texts: in whole; a row's suffixes are what a task holds of it. Ties (equal suffixes) are one
@@ -33,11 +35,11 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_words, semi_joined, share, window_hashes, word_hashes
+from .common import lower_words, mixed, semi_joined, share, window_hashes, word_hashes
 
 LENGTH = 50
 GRAM = 8
-HOT = 5_000  # suffixes with the same first words that one task sorts
+HOT = 1_000  # suffixes with the same first words in a shard
 ROWS = 20_000  # suffixes compared at a time
 FRAGMENTS = "seed array<long>, right array<binary>, left array<binary>"
 RANGES = "print long, doc long, a int, b int, first long"
@@ -125,17 +127,14 @@ def _shared(rows: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
 
 
-def matches(seed: np.ndarray, right: np.ndarray, left: np.ndarray, doc: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of suffixes sorted by (seed, right): (suffix, least d, greatest d, least document) of the ranges of windows that
-    begin d words before it and are in several documents."""
+def _groups(seed: np.ndarray, right: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of suffixes sorted by (seed, right), for each number d of words to the left: (d, suffixes, where groups begin among
+    them). A group's suffixes share their window, which begins d words before them."""
     m, more = right.shape
-    ordered = np.concatenate((seed.view(np.uint64)[:, None], right), axis=1)
-    share_right = np.concatenate(([0], _shared(ordered)))
+    share_right = np.concatenate(([0], _shared(np.concatenate((seed.view(np.uint64)[:, None], right), axis=1))))
     backwards = np.concatenate((seed.view(np.uint64)[:, None], left), axis=1)
     by_left = np.argsort(np.ascontiguousarray(backwards.astype(">u8")).view(f"S{8 * (more + 1)}").ravel(), kind="stable")
     share_left = np.concatenate(([0], _shared(backwards[by_left])))
-    first = np.zeros((m, more + 1), np.int64)
-    hit = np.zeros((m, more + 1), bool)
     group_left = np.empty(m, np.int64)
     for d in range(more + 1):
         e = more - d
@@ -146,34 +145,57 @@ def matches(seed: np.ndarray, right: np.ndarray, left: np.ndarray, doc: np.ndarr
             able &= right[:, e - 1] != 0
         group_left[by_left] = np.cumsum(share_left < d + 1)
         rows = np.flatnonzero(able)
-        key = (np.cumsum(share_right < e + 1) * (m + 1) + group_left)[rows]
-        by = np.argsort(key, kind="stable")
-        key, rows = key[by], rows[by]
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(rows) else np.empty(0, np.int64)
-        if len(begin) == len(rows):
-            continue
-        least = np.minimum.reduceat(doc[rows], begin)
-        several, size = least < np.maximum.reduceat(last[rows], begin), np.diff(begin, append=len(rows))
-        first[rows, d], hit[rows, d] = np.repeat(least, size), np.repeat(several, size)
+        if len(rows):
+            key = (np.cumsum(share_right < e + 1) * (m + 1) + group_left)[rows]
+            by = np.argsort(key, kind="stable")
+            key, rows = key[by], rows[by]
+            yield d, rows, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+
+
+def _ranges(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(suffix, least d, greatest d, least document) of the ranges of hit windows with the same least document."""
     same = hit[:, 1:] & hit[:, :-1] & (first[:, 1:] == first[:, :-1])
-    no = np.zeros((m, 1), bool)
+    no = np.zeros((len(hit), 1), bool)
     begins, ends = hit & ~np.concatenate((no, same), axis=1), hit & ~np.concatenate((same, no), axis=1)
     suffix, low = np.nonzero(begins)
-    high = np.nonzero(ends)[1]
-    return suffix, low, high, first[suffix, low]
+    return suffix, low, np.nonzero(ends)[1], first[suffix, low]
+
+
+def matches(seed: np.ndarray, right: np.ndarray, left: np.ndarray, doc: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ranges of windows that several documents hold, of suffixes sorted by (seed, right)."""
+    first, hit = np.zeros((len(right), right.shape[1] + 1), np.int64), np.zeros((len(right), right.shape[1] + 1), bool)
+    for d, rows, begin in _groups(seed, right, left):
+        if len(begin) < len(rows):
+            least, size = np.minimum.reduceat(doc[rows], begin), np.diff(begin, append=len(rows))
+            first[rows, d], hit[rows, d] = np.repeat(least, size), np.repeat(least < np.maximum.reduceat(last[rows], begin), size)
+    return _ranges(hit, first)
+
+
+def window_keys(seed: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each suffix and d a hash of the window that begins d words before it."""
+    m, more = right.shape
+    sides = []
+    for words in (right, left):
+        h = np.zeros((m, more + 1), np.uint64)
+        for k in range(more):
+            h[:, k + 1] = mixed(h[:, k] * np.uint64(0x9E3779B97F4A7C15) + words[:, k] + np.uint64(1))
+        sides.append(h)
+    d = np.arange(more + 1)
+    return mixed(mixed(sides[0][:, more - d] + seed.view(np.uint64)[:, None]) * np.uint64(0x9E3779B97F4A7C15) + sides[1] + d.astype(np.uint64)).view(np.int64)
+
+
+def _words(column: pd.Series, more: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), ">u8").astype(np.uint64).reshape(len(column), more)
 
 
 def _neighbours(fragments: DataFrame, length: int) -> DataFrame:
     """fragments (seed, right, left, print, doc, last, at), sorted and compared -> RANGES of window starts."""
     more = length - seed_length(length)
-    columns = ["seed", "right", "left", "print", "doc", "last", "at"]
 
     def compared(held: list[pd.DataFrame]) -> pd.DataFrame:
         f = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-        words = lambda c: np.frombuffer(b"".join(f[c]), ">u8").astype(np.uint64).reshape(len(f), more)
-        at = f["at"].to_numpy(np.int64)
-        suffix, low, high, first = matches(f["seed"].to_numpy(np.int64), words("right"), words("left"), f["doc"].to_numpy(np.int64), f["last"].to_numpy(np.int64))
-        return pd.DataFrame({"print": f["print"].to_numpy()[suffix], "doc": f["doc"].to_numpy()[suffix], "a": (at[suffix] - high).astype(np.int32), "b": (at[suffix] - low).astype(np.int32), "first": first})
+        found = matches(f["seed"].to_numpy(np.int64), _words(f["right"], more), _words(f["left"], more), f["doc"].to_numpy(np.int64), f["last"].to_numpy(np.int64))
+        return _as_ranges(f, *found)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -191,35 +213,40 @@ def _neighbours(fragments: DataFrame, length: int) -> DataFrame:
         if n:
             yield compared(held)
 
-    return fragments.select(columns).repartition("seed").sortWithinPartitions("seed", "right", "left").mapInPandas(run, RANGES)
+    return fragments.select("seed", "right", "left", "print", "doc", "last", "at").repartition("seed").sortWithinPartitions("seed", "right", "left").mapInPandas(run, RANGES)
 
 
-def _hot_windows(text: Column, print_: Column, at: Column, length: int) -> Column:
-    """Starts and hashes of the windows around the suffixes at `at` that hold their first words."""
+def _as_ranges(f: pd.DataFrame, suffix: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray) -> pd.DataFrame:
+    at = f["at"].to_numpy(np.int64)[suffix]
+    return pd.DataFrame({"print": f["print"].to_numpy()[suffix], "doc": f["doc"].to_numpy()[suffix], "a": (at - high).astype(np.int32), "b": (at - low).astype(np.int32), "first": first})
 
-    @F.pandas_udf("start array<int>, hash array<long>")
-    def found(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        reach = length - seed_length(length)
-        for texts, prints, places in batches:
-            rows = []
-            for t, own, p in zip(texts, prints, places):
-                h = word_hashes(lower_words(t))
-                all_ = window_hashes(h, length)
-                around = np.unique(np.add.outer(np.asarray(p, np.int64), -np.arange(reach + 1)))
-                around = around[(around >= 0) & (around < len(all_))] if _print(h) == own else around[:0]
-                rows.append((around.astype(np.int32), all_[around].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["start", "hash"])
 
-    return found(text, print_, at)
-
-
-def _hot_ranges(texts: DataFrame, length: int) -> DataFrame:
-    """RANGES of single windows around hot suffixes; texts (text, print, doc, last, at)."""
-    windows = share(texts.select("print", "doc", "last", _hot_windows(F.col("text"), F.col("print"), F.col("at"), length).alias("w")).select("print", "doc", "last", "w.*"), "suffix-windows")
-    each = windows.select("print", "doc", "last", F.explode(F.arrays_zip("start", "hash")).alias("w")).select("print", "doc", "last", F.col("w.start").alias("a"), F.col("w.hash").alias("hash"))
-    # written first: a join of two plain exchanges, which Spark can split at hot windows
-    same = share(each.groupBy("hash").agg(F.min("doc").alias("first"), F.max("last").alias("most")).where("first < most").select("hash", "first"), "suffix-same")
-    return each.join(same, "hash").select("print", "doc", "a", F.col("a").alias("b"), "first")
+def _hot_neighbours(fragments: DataFrame, length: int) -> DataFrame:
+    """The same for groups of several shards; fragments also have `shard`."""
+    more = length - seed_length(length)
+    fragments = share(fragments.select("seed", "shard", "right", "left", "print", "doc", "last", "at"), "suffix-hot")
+
+    def represent(key, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["right", "left"], kind="stable", ignore_index=True)
+        seed, right, left = f["seed"].to_numpy(np.int64), _words(f["right"], more), _words(f["left"], more)
+        keys, doc, last, out = window_keys(seed, right, left), f["doc"].to_numpy(np.int64), f["last"].to_numpy(np.int64), []
+        for d, rows, begin in _groups(seed, right, left):
+            out.append((keys[rows[begin], d], np.minimum.reduceat(doc[rows], begin), np.maximum.reduceat(last[rows], begin)))
+        window, least, most = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+        return pd.DataFrame({"seed": key[0], "shard": key[1], "window": window, "least": least, "most": most})
+
+    def back(key, f: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(f) or not len(known):
+            return pd.DataFrame(columns=[c.split()[0] for c in RANGES.split(", ")])
+        known = known.sort_values("window")
+        keys, windows = window_keys(f["seed"].to_numpy(np.int64), _words(f["right"], more), _words(f["left"], more)), known["window"].to_numpy(np.int64)
+        place = np.minimum(np.searchsorted(windows, keys), len(windows) - 1)
+        return _as_ranges(f, *_ranges(windows[place] == keys, known["first"].to_numpy(np.int64)[place]))
+
+    reps = share(fragments.groupBy("seed", "shard").applyInPandas(represent, "seed long, shard int, window long, least long, most long"), "suffix-windows")
+    same = share(reps.groupBy("window").agg(F.min("least").alias("first"), F.max("most").alias("most")).where("first < most").select("window", "first"), "suffix-same")
+    known = reps.join(same, "window").select("seed", "shard", "window", "first")
+    return fragments.groupBy("seed", "shard").cogroup(known.groupBy("seed", "shard")).applyInPandas(back, RANGES)
 
 
 def _merged(a: Column, b: Column, firsts: Column, doc: Column, length: int) -> Column:
@@ -260,16 +287,21 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     suffixes = classes.select("print", "doc", "last", F.explode(F.arrays_zip("at", "seed")).alias("s")).select("print", "doc", "last", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
     # suffixes that share their first words with another class; written first, so that Spark can split the join at hot ones
     equal = suffixes.groupBy("seed").agg(F.min("doc").alias("x"), F.max("last").alias("y"), F.min("print").alias("p"), F.max("print").alias("q"), F.count("*").alias("n")).where("x < y and p < q")
-    equal = share(equal.select("seed", (F.col("n") > hot).alias("hot")), "suffix-equal")
-    place = lambda is_hot: F.collect_list(F.when(F.col("hot") == is_hot, F.col("at")))
+    equal = share(equal.select("seed", F.ceil(F.col("n") / hot).cast("int").alias("shards")), "suffix-equal")
+    shard = F.when(F.col("shards") > 1, F.pmod(F.xxhash64("print", "at"), F.col("shards")).cast("int"))
+    place = lambda is_hot: F.collect_list(F.when((F.col("shards") > 1) == is_hot, F.struct("at", shard.alias("shard"))))
     seeds = share(suffixes.join(equal, "seed").groupBy("print", "doc", "last").agg(place(False).alias("cold"), place(True).alias("hot")), "suffix-seeds")
     # the texts of those documents alone
     texts = semi_joined(docs, seeds.select(F.col("doc").alias("doc_id")), "doc_id").join(seeds.withColumnRenamed("doc", "doc_id"), "doc_id").withColumnRenamed("doc_id", "doc")
-    own = texts.where(F.size("cold") > 0).select("print", "doc", "last", F.col("cold").alias("at"), _fragments(F.col("text"), F.col("print"), F.col("cold"), length).alias("f")).where(F.size("f.seed") > 0)
-    each = own.select("print", "doc", "last", F.explode(F.arrays_zip("at", F.col("f.seed").alias("seed"), F.col("f.right").alias("right"), F.col("f.left").alias("left"))).alias("s")).select("print", "doc", "last", "s.*")
-    ranges = _neighbours(each, length)
-    if not equal.where("hot").isEmpty():
-        ranges = ranges.unionByName(_hot_ranges(texts.where(F.size("hot") > 0).withColumn("at", F.col("hot")), length))
+
+    def fragments(of: str) -> DataFrame:
+        own = texts.where(F.size(of) > 0).select("print", "doc", "last", of, _fragments(F.col("text"), F.col("print"), F.col(of)["at"], length).alias("f")).where(F.size("f.seed") > 0)
+        zipped = F.arrays_zip(F.col(of).alias("place"), F.col("f.seed").alias("seed"), F.col("f.right").alias("right"), F.col("f.left").alias("left"))
+        return own.select("print", "doc", "last", F.explode(zipped).alias("s")).select("print", "doc", "last", "s.place.at", "s.place.shard", "s.seed", "s.right", "s.left")
+
+    ranges = _neighbours(fragments("cold"), length)
+    if not equal.where("shards > 1").isEmpty():
+        ranges = ranges.unionByName(_hot_neighbours(fragments("hot"), length))
     hits = ranges.groupBy("print", "doc").agg(*(F.collect_list(c).alias(c) for c in ("a", "b")), F.collect_list("first").alias("firsts"), F.min("first").alias("first"))
     passages = hits.select("print", "first", _merged(F.col("a"), F.col("b"), F.col("firsts"), F.col("doc"), length).alias("m")).select("print", "first", "m.*")
     # whole texts that several documents hold
