@@ -4,22 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import share
+from .common import dropped, share
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node points its larger (or smaller and equal) neighbours to the least of its neighbours and itself."""
+    """Each node points its larger (or smaller and equal) neighbours to the least of its neighbours and itself. Written."""
     if large:
         sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         sides = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    # a hub's rows are many: a skewed join, which can be split, and no list of neighbours
+    # partial minima before the shuffle; written first, so that the join is one of two plain exchanges, which Spark can
+    # split at a hub, whose rows are many
+    least = share(sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     joined = sides.join(least, "a")
     if large:
-        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    both = joined.select(F.col("b").alias("x"), "m").unionByName(least.select(F.col("a").alias("x"), "m"))
-    return both.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
+        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    else:
+        both = joined.select(F.col("b").alias("x"), "m").unionByName(least.select(F.col("a").alias("x"), "m"))
+        out = both.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
+    out = share(out, "edges")
+    dropped(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = share(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
-        now = share(_star(_star(now, True), False), "edges")
+        half = _star(now, True)
+        next_ = _star(half, False)
+        dropped(now, half)
+        now = next_
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if tuple(state) == before:
             break

@@ -4,11 +4,11 @@ A-Z is lower-cased, words are `[^\x20\x09-\x0D]+`; a set holds the hashes (64 bi
 shingles; with fewer words, the whole sequence is one; without words it is empty and linked with nothing.
 
 1. One pass over the texts: per row the set's size, its fingerprint and its `low` shingles (hashes in the
-   lowest LOW * (1 - t) of the hash space, or as many as the prefix needs).
+   lowest LOW * (1 - t) of the hash space), or, where these are fewer than a prefix takes, all of them.
 2. Equal fingerprints are one class; its least doc_id stands for it from here on.
-3. Shingles are globally ordered: low ones first, by (document frequency, hash), then the rest by hash. Two
-   sets with the wanted similarity share a shingle within the first n - ceil(t * n) + 1 of each. Frequencies of
-   low shingles are exact. A document whose prefix consists of shingles of its own alone drops out here.
+3. Shingles are globally ordered: low ones first, then the rest, both by (document frequency, hash), so that what many
+   texts say comes last. Two sets with the wanted similarity share a shingle within the first n - ceil(t * n) + 1 of
+   each. A frequency is one number for all (of other than low shingles it counts the documents that sent them). A document whose prefix consists of shingles of its own alone drops out here.
 4. For each shared prefix shingle the documents that have it are a bucket, by classes of their sets' sizes (each
    is with its own class and the one below); equal buckets count once. Documents
    that buckets connect are a cluster; most hold a few documents. A cluster of at most BLOCK shingles is a
@@ -22,8 +22,9 @@ shingles; with fewer words, the whole sequence is one; without words it is empty
 6. Components. Buckets of several blocks whose documents are still in different components get a second round:
    every block of the largest component against every block of the others, and the others among themselves.
 
-Nulls: a null text is empty; rows with null doc_id get a null component. Equal rows are in one class; rows that
-share a doc_id but not a text are linked by their own texts. Empty table: empty result.
+Nulls: a null text is empty; rows with null doc_id get a null component. Long texts: whole. Equal rows are in one
+class; rows that share a doc_id but not a text are linked by their own texts. Ties (equal frequencies): by hash. Empty
+table: empty result. Extra columns: not read by jaccard_components, kept by one_of_each, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,14 +37,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_words, share, window_hashes, word_hashes
+from .common import lower_words, semi_joined, share, unused, window_hashes, word_hashes
 from .components import components
 
 WORDS = 3
 PERCENT = 90
 LOW = 1.6  # times 1 - t: low shingles are more than a prefix takes, so that it can leave out frequent ones
-BLOCK = 4_000_000  # shingles in a block
-BROADCAST_ROWS = 500_000  # of two integers; beyond that the join shuffles
+BLOCK = 2_000_000  # shingles in a block
 SETS = "n_shingles long, print long, low array<long>, n_low int"
 
 
@@ -74,7 +74,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _sets(text: Column, words: int, percent: int) -> Column:
-    """Size, fingerprint, the shingles that may be in the prefix, and how many of these are low."""
+    """Size, fingerprint, the shingles that may be in the prefix (the low ones or all), and how many are low."""
     limit = np.uint64(low_limit(percent))
     names = [x.split()[0] for x in SETS.split(", ")]
 
@@ -85,7 +85,7 @@ def _sets(text: Column, words: int, percent: int) -> Column:
             for t in texts:
                 s = shingles(t, words)
                 n_low = int(np.searchsorted(s, limit))
-                rows.append((len(s), fingerprint(s), _signed(s[: max(n_low, prefix_length(len(s), percent) if len(s) else 0)]), n_low))
+                rows.append((len(s), fingerprint(s), _signed(s[:n_low] if len(s) and n_low >= prefix_length(len(s), percent) else s), n_low))
             yield pd.DataFrame(rows, columns=names)
 
     return found(text)
@@ -245,11 +245,6 @@ def _block(of: Column) -> Column:
     return F.pmod(F.xxhash64("node", "bucket"), of).cast("int")
 
 
-def _without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """rows whose key is not in gone; broadcast if gone's size, which is checked, allows."""
-    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
-
-
 def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, n_shingles, print) per row; (print, node, doc_id) per class of equal sets; (node, component) of linked classes."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -260,17 +255,20 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     classes = share(classes, "jaccard-classes")
     several = classes.where("n > 1").select("print", F.col("node").alias("first"))
     copies = share(filled.select("print", "node").join(several, "print").where("node <> first").select("node"), "jaccard-copies")
-    tokens = _without(filled, copies, "node").select("node", "n_shingles", "n_low", F.explode("low").alias("token"))
+    tokens = semi_joined(filled, copies, "node", "left_anti").select("node", "n_shingles", "n_low", F.explode("low").alias("token"))
     # written first: a join of two plain exchanges, which Spark can split at hot shingles
     often = share(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-often")
     # the shared shingles of each prefix, rarest first
     is_high = (F.col("token") < 0) | (F.col("token") >= low_limit(percent))
-    entry = F.struct(is_high.alias("high"), F.when(is_high, 0).otherwise(F.col("df")).alias("df"), F.col("token").alias("token"))
+    entry = F.struct(is_high.alias("high"), F.col("df").alias("df"), F.col("token").alias("token"))
     shared = tokens.join(often, "token").groupBy("node", "n_shingles", "n_low").agg(F.array_sort(F.collect_list(entry)).alias("all"))
     low, high = F.filter("all", lambda x: ~x["high"]), F.filter("all", lambda x: x["high"])
+    # a set's own shingles stand before its shared ones among the low ones, and again among the others
     prefix = F.expr(f"n_shingles - ({percent} * n_shingles + 99) div 100 + 1")
     room = F.greatest(F.lit(0), prefix - (F.col("n_low") - F.size(low))).cast("int")
-    postings = share(shared.select("node", "n_shingles", F.explode(F.concat(F.slice(low, F.lit(1), room), high)["token"]).alias("bucket")), "jaccard-postings")
+    more = F.greatest(F.lit(0), prefix - (F.col("n_shingles") - F.size(high))).cast("int")
+    first = F.concat(F.slice(low, F.lit(1), room), F.slice(high, F.lit(1), more))
+    postings = share(shared.select("node", "n_shingles", F.explode(first["token"]).alias("bucket")), "jaccard-postings")
     # sets of the wanted similarity have sizes in the same class or in neighbouring ones: a window holds the sets of
     # its own class and those of the next, and counts if it has one of its own
     size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.0001 * math.log(100 / percent))).cast("long")
@@ -288,8 +286,7 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     seats = sized.groupBy("node").agg(F.collect_set(F.struct("cluster", "large")).alias("seats"))  # two at most
     # the whole sets of these documents alone
     wanted = share(classes.select("node", "doc_id", "print").join(seats, "node"), "jaccard-wanted")
-    small = wanted.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id")
+    texts = semi_joined(docs, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id")
     sets = texts.select("node", "seats", "print", _full_sets(F.col("text"), words).alias("s")).where("print = s.print").select("node", "seats", "s.set")
     of_clusters = sets.withColumn("seat", F.explode(F.filter("seats", lambda x: ~x["large"]))).select(F.col("seat.cluster").alias("bucket"), F.lit(0).cast("long").alias("block"), "node", F.col("node").alias("component"), "set")
     links = share(_links(of_clusters, percent), "jaccard-links")
@@ -338,11 +335,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group, that with the least doc_id; of rows that share it and a set, one. Columns as they were."""
     found = jaccard_components(docs, doc_id, text, words, percent)
-    gone = share(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
-    small = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if small else gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    twice = share(found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice")), "jaccard-twice")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, F.col(doc_id) == F.col("__twice"), "left_semi").withColumn("__print", _full_sets(F.col(text), words)["print"]).dropDuplicates([doc_id, "__print"]).drop("__print")
-    return kept.join(twice, F.col(doc_id) == F.col("__twice"), "left_anti").unionByName(again)
+    key, own = (unused(c, docs) for c in ("key", "print"))
+    gone = share(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "jaccard-gone")
+    kept = semi_joined(docs.withColumn(key, F.col(doc_id)), gone, key, "left_anti")
+    twice = share(found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(key)), "jaccard-twice")
+    if not twice.isEmpty():
+        again = semi_joined(kept, twice, key).withColumn(own, _full_sets(F.col(text), words)["print"]).dropDuplicates([key, own])
+        kept = semi_joined(kept, twice, key, "left_anti").unionByName(again.drop(own))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
