@@ -316,13 +316,30 @@ def brute_hits(text, items):
         for i in at:
             hit.update(range(i, i + m))
         found += [str(name)] * bool(at)
-    return len(w), len(hit), sorted(found)
+    return len(w), len(hit), sorted(set(found))
+
+
+def brute_longest(text, items):
+    """(words, first word, item) of the longest run of words that holds a window of an item and is in it, word for word."""
+    word = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+    w, best = word.findall(lower(text)), (0, 1, None)
+    for name, t in items:
+        v = word.findall(lower(t))
+        for i in range(len(w)):
+            for j in range(len(v)):
+                if w[i] == v[j] and (not i or not j or w[i - 1] != v[j - 1]):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    if n >= min(10, len(v)):
+                        best = min(best, (-n, i, str(name)), key=lambda x: (x[0], x[1], x[2] or ""))
+    return (-best[0], best[1] if best[0] else -1, best[2])
 
 
 @pytest.mark.parametrize("block", [8_000_000, 200])
 def test_decontamination(spark, corpus, block):
     docs = corpus.collect()
-    items = [(3, docs[5].text[:200]), (11, "w1 w2"), (2, docs[9].text.upper().replace(" ", ", ")), (7, None), (8, "..."), (9, "nothing of this is in any of the documents at all here"), (None, docs[20].text)]
+    items = [(3, docs[5].text[:200]), (3, docs[6].text[:300]), (11, "w1 w2"), (12, docs[5].text[:200]), (2, docs[9].text.upper().replace(" ", ", ")), (7, None), (8, "..."), (9, "nothing of this is in any of the documents at all here"), (None, docs[20].text)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = by_id(decontaminate.contamination(corpus, bench, block_chars=block))
     for d in docs:
@@ -330,7 +347,7 @@ def test_decontamination(spark, corpus, block):
         r = got[d.doc_id]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(found), hit > 0)
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
-        assert r.longest_match <= r.n_hit
+        assert (r.longest_match, r.longest_match_at, r.longest_match_item) == brute_longest(d.text, [("null" if i is None else i, t) for i, t in items])
     kept = {r.doc_id for r in decontaminate.decontaminated(corpus, bench).collect()}
     assert kept == {i for i, r in got.items() if not r.contaminated} and 0 < len(kept) < len(docs)
 
@@ -351,7 +368,10 @@ def test_decontamination_odd_rows(spark, odd, odd_rows, none):
     assert sum(r.contaminated for r in df.collect()) == 1
     assert decontaminate.contamination(none, bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(odd, bench.limit(0)).collect())
-    assert decontaminate.decontaminated(odd, bench).columns == odd.columns
+    named = odd.withColumns({c: F.lit("own") for c in ("match", "ROW", "__match")})
+    for size in (8_000_000, 5):
+        out = decontaminate.decontaminated(named, bench.unionByName(spark.createDataFrame([(2, "another text with that id")], bench.schema)), block_chars=size)
+        assert out.columns == named.columns and out.count() == len(odd_rows) - 2
 
 
 # -- quality
@@ -374,6 +394,16 @@ def test_quality(corpus):
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.base_failed, r.n_removed_words) == (len(w), sum(map(len, w)), len(rep), failed, removed)
         assert r.kept == (not failed and len(w) - removed >= 20 and len(w) - removed >= 0.3 * len(w))
     assert 0 < sum(r.n_removed_words > 0 for r in got.values()) < len(got)
+    extra = corpus.withColumns({c: F.lit("own") for c in ("row", "gone", "Kept")})
+    clean, n = quality.cleaned(extra, max_docs=3), 0
+    assert clean.columns == extra.columns
+    texts = {r.doc_id: r for r in clean.collect()}
+    assert set(texts) == {i for i, r in got.items() if r.kept}
+    for d in docs:
+        if d.doc_id in texts:
+            assert texts[d.doc_id].text == "\n".join(x for x in d.text.split("\n") if not (WS.search(x) and host[d.source, norm(x)] > 3))
+            n += texts[d.doc_id].text != d.text
+    assert n > 3
 
 
 def test_quality_measures_and_odd_rows(odd, odd_rows, none):
@@ -382,7 +412,8 @@ def test_quality_measures_and_odd_rows(odd, odd_rows, none):
     assert (n, chars, symbols, dup, rep, len(hashes), sum(counts)) == (24, 26, 2, 1, 16, 4, 24)
     df = quality.quality(odd)
     same_rows(df, odd_rows)
-    assert quality.quality(none).count() == 0
+    assert quality.quality(none).count() == 0 and quality.cleaned(none).count() == 0
+    assert quality.cleaned(odd, min_words=0, min_left=0.0).columns == odd.columns
 
 
 # -- mixing

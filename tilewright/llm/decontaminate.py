@@ -6,23 +6,27 @@ words become ids of the benchmark's vocabulary, the suffixes of all runs that ca
 (prefix doubling, so ties go on to the longest item), and every benchmark suffix is binary-searched in it.
 A word outside the vocabulary ends a suffix: no match goes past it, so comparisons are exact, without hashes.
 
-Null or empty text: no words, nothing hit. Repeated rows: each row has its own result. Empty benchmark: no
-hits. Null item text: no window. Null item_id: searched, listed as 'null'. The benchmark goes to the executors
-in blocks of at most `BLOCK_CHARS` characters, one pass over the documents for each, so what is broadcast is
-bounded however large the benchmark grows.
+Null or empty text: no words, nothing hit. Long texts: whole; one that is longer than a shard is a shard. Repeated rows:
+each row has its own result. Repeated items: an item_id counts once. Empty benchmark: no hits. Null item text: no
+window. Null item_id: searched, listed as 'null'. Ties: of equally long longest matches the first in the document,
+then the least item_id as a string. Extra columns are kept, whatever their names. Empty table: empty result.
+
+The benchmark goes to the executors in blocks of at most BLOCK_CHARS characters (an item longer than that is a block
+of its own), so what is broadcast is bounded however large the benchmark grows. With several blocks the documents are
+written once, with row numbers; each block reads them and adds the states of the rows that it hits, which are merged.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import encode, share
+from .common import dropped, encode, share, unused
 
 WINDOW = 10
 BLOCK_CHARS = 8_000_000
@@ -119,6 +123,11 @@ class Benchmark:
         return sign
 
 
+def _further(state: dict) -> tuple:
+    """Sorts the state with the longest match first; ties as in the module's docstring."""
+    return -state["longest"], state["longest_at"], state["longest_item"] or ""
+
+
 def scan(index: Benchmark, texts: list, window: int = WINDOW) -> list[dict]:
     """One shard: for each text, STATE as a dict."""
     parts, sizes = [], []
@@ -160,6 +169,8 @@ def scan(index: Benchmark, texts: list, window: int = WINDOW) -> list[dict]:
         out[d]["starts"].append(a - int(base[d])), out[d]["ends"].append(b - int(base[d]))
     for d, i in np.unique(np.stack((doc, item)), axis=1).T.tolist():
         out[d]["items"].append(index.names[i])
+    for o in out:
+        o["items"] = sorted(set(o["items"]))
     # the longest verbatim match: consecutive windows on one diagonal of (item, document)
     diagonal = at - index.start[q]
     by = np.lexsort((at, diagonal, item))
@@ -168,8 +179,9 @@ def scan(index: Benchmark, texts: list, window: int = WINDOW) -> list[dict]:
     run = np.diff(np.concatenate((first, [len(by)]))) - 1 + size[by[first]]
     for j, length_ in zip(by[first].tolist(), run.tolist()):
         o = out[int(doc[j])]
-        if length_ > o["longest"]:
-            o.update(longest=length_, longest_at=int(at[j] - base[doc[j]]), longest_item=index.names[int(item[j])])
+        new_ = {"longest": length_, "longest_at": int(at[j] - base[doc[j]]), "longest_item": index.names[int(item[j])]}
+        if _further(new_) < _further(o):
+            o.update(new_)
     return out
 
 
@@ -195,18 +207,17 @@ def _scanner(index: Benchmark, window: int):
 
 
 @F.pandas_udf(STATE)
-def _merged(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+def _merged(lists: pd.Series) -> pd.DataFrame:
     rows = []
-    for x, y in zip(a.to_dict("records"), b.to_dict("records")):
-        spans = sorted([*zip(x["starts"], x["ends"]), *zip(y["starts"], y["ends"])])
+    for states in lists:
         joined: list[list[int]] = []
-        for s, e in spans:
-            if joined and s <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], e)
+        for a, b in sorted(x for s in states for x in zip(s["starts"], s["ends"])):
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
             else:
-                joined.append([s, e])
-        far = x if x["longest"] >= y["longest"] else y
-        rows.append(far | {"starts": [s for s, _ in joined], "ends": [e for _, e in joined], "items": sorted({*x["items"], *y["items"]})})
+                joined.append([a, b])
+        far = min(states, key=_further)
+        rows.append({c: far[c] for c in STATE.names} | {"starts": [a for a, _ in joined], "ends": [b for _, b in joined], "items": sorted({x for s in states for x in s["items"]})})
     return pd.DataFrame(rows, columns=STATE.names)
 
 
@@ -227,12 +238,19 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterato
 def with_matches(docs: DataFrame, benchmark: DataFrame, out: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with the column `out` of type STATE: words, hit spans, items found, longest match and its place."""
     blocks = _blocks(benchmark, item_id, item_text, block_chars)
-    block = next(blocks, [])
-    docs = docs.withColumn(out, _scanner(Benchmark(block, window), window)(F.col(text)))
-    for block in blocks:  # each block's index is let go when its pass has been written
-        docs = share(docs, "decontaminate")
-        docs = docs.withColumn(out, _merged(F.col(out), _scanner(Benchmark(block, window), window)(F.col(text))))
-    return docs
+    first, second = next(blocks, []), next(blocks, None)
+    search = lambda block: _scanner(Benchmark(block, window), window)(F.col(text))
+    if second is None:
+        return docs.withColumn(out, search(first))
+    row = unused("row", docs)
+    docs = share(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-documents")
+    states = share(docs.select(row, search(first).alias("s")), "decontaminate-states")  # of all rows: their words
+    for block in chain([second], blocks):
+        hits = share(docs.select(row, search(block).alias("s")).where(F.size("s.items") > 0), "decontaminate-hits")
+        more = share(states.join(hits.withColumnRenamed("s", "t"), row, "left").select(row, F.when(F.col("t").isNull(), F.col("s")).otherwise(_merged(F.filter(F.array("s", "t"), lambda x: x.isNotNull()))).alias("s")), "decontaminate-states")
+        dropped(states, hits)
+        states = more
+    return docs.join(states.withColumnRenamed("s", out), row).drop(row)
 
 
 def n_hit(state: Column) -> Column:
@@ -245,9 +263,10 @@ def items_sha256(items) -> str:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and the longest match with its place."""
-    s = F.col("__match")
+    s = F.col("match")
     items = F.array_sort(s["items"])
-    return with_matches(docs.select(F.col(doc_id).alias("doc_id"), F.col(how.get("text", "text"))), benchmark, "__match", **how).select(
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(how.pop("text", "text")).alias("text"))
+    return with_matches(own, benchmark, "match", **how).select(
         "doc_id",
         s["n_words"].alias("n_words"),
         n_hit(s).alias("n_hit"),
@@ -262,5 +281,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the documents that hold a benchmark window; columns and other rows as they were."""
-    found = with_matches(docs, benchmark, "__match", **how)
-    return found.where(F.size(F.col("__match")["starts"]) == 0).drop("__match")
+    match = unused("match", docs)
+    found = with_matches(docs, benchmark, match, **how)
+    return found.where(F.size(F.col(match)["starts"]) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))

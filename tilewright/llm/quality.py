@@ -6,8 +6,10 @@ line hash, the documents that hold it are counted; a line in more than MAX_DOCS
 removed, and a document is rejected if fewer than MIN_LEFT of its words, or fewer than MIN_WORDS, are left.
 Copies of a document count as documents: the rule is about what a host repeats.
 
-Null or empty text: no words, base_failed. Repeated rows: each is judged; rows with the same doc_id are one
-document in the counts. Null doc_id: such rows of a host are one document. Empty table: empty result.
+Null or empty text: no words, base_failed. Long texts: whole. Repeated rows: each is judged; rows with the same doc_id
+are one document in the counts. Null doc_id: such rows of a host are one document. Ties: lines that are equal when
+normalised are one line. Empty table: empty result. Extra columns are kept by `cleaned`, whatever their names, and not
+read otherwise.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WHITE, encode, share, window_hashes, word_hashes
+from .common import WHITE, encode, share, unused, window_hashes, word_hashes
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -48,6 +50,10 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
+def line_hash(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
 def features(text) -> tuple:
     raw = encode(text)
     words = raw.split()
@@ -59,7 +65,7 @@ def features(text) -> tuple:
         len(raw) - len(raw.translate(None, b"#*$%&|<>")),
         len(filled) - len(set(filled)),
         repeated_words(words),
-        [xxhash.xxh3_64_intdigest(b" ".join(x)) - (1 << 63) for x in lines],
+        [line_hash(x) for x in lines],
         [len(x) for x in lines],
     )
 
@@ -75,27 +81,67 @@ def _features(text: Column) -> Column:
     return measured(text)
 
 
-def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per row: doc_id, the measures, base_failed, n_removed_words, kept."""
-    f = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), _features(F.col(text)).alias("f")).select("doc_id", "host", "f.*")
-    # one pass over the texts; only measures and line hashes go on
-    f = share(f.withColumn("row", F.monotonically_increasing_id()), "quality")
-    lines = f.select("row", "doc_id", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("row", "doc_id", "host", F.col("l.line_hash").alias("h"), F.col("l.line_words").alias("w"))
+def _measured(docs: DataFrame, doc_id: str, text: str, host: str, row: Column) -> DataFrame:
+    """One pass over the texts; only measures and line hashes go on."""
+    return docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), _features(F.col(text)).alias("f")).select("row", "doc_id", "host", "f.*")
+
+
+def _frequent(f: DataFrame, max_docs: int) -> DataFrame:
+    """(host, h) of lines in more than max_docs documents of a host."""
     # a document's lines become distinct beside it, counts are partial before the shuffle
     each = f.select("doc_id", "host", F.explode(F.array_distinct("line_hash")).alias("h"))
     ids = f.groupBy("host", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select("host", "doc_id")
     # rows of one document: their lines count once
     once = each.join(ids, [each.host.eqNullSafe(ids.host), each.doc_id.eqNullSafe(ids.doc_id)], "left_anti")
     more = each.join(ids, [each.host.eqNullSafe(ids.host), each.doc_id.eqNullSafe(ids.doc_id)], "left_semi").distinct()
-    often = once.unionByName(more).groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs).select("host", "h")
+    return once.unionByName(more).groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs).select("host", "h")
+
+
+def _removed(f: DataFrame, often: DataFrame) -> DataFrame:
+    """(row, h, w) of the frequent lines of every row."""
+    lines = f.select("row", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("row", "host", F.col("l.line_hash").alias("h"), F.col("l.line_words").alias("w"))
     # a frequent line of a hot host has many rows: both sides are salted
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     a, b = lines.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).alias("a"), often.alias("b")
-    removed = a.join(b, [F.col("a.h") == F.col("b.h"), F.col("a.host").eqNullSafe(F.col("b.host")), F.col("a.salt") == F.col("b.salt")], "left_semi").groupBy("row").agg(F.sum("w").cast("long").alias("n_removed_words"))
+    return a.join(b, [F.col("a.h") == F.col("b.h"), F.col("a.host").eqNullSafe(F.col("b.host")), F.col("a.salt") == F.col("b.salt")], "left_semi")
+
+
+def _judged(f: DataFrame, removed: DataFrame, min_left: float, min_words: int) -> DataFrame:
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
-    return (
-        f.join(removed, "row", "left")
-        .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & (left >= min_words) & (left >= min_left * F.col("n_words"))).alias("kept"), "n_removed_words")
+    words = removed.groupBy("row").agg(F.sum("w").cast("long").alias("n_removed_words"))
+    both = f.join(words, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    return both.withColumns({"base_failed": base_failed, "kept": ~base_failed & (left >= min_words) & (left >= min_left * F.col("n_words"))})
+
+
+def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per row: doc_id, the measures, base_failed, n_removed_words, kept."""
+    f = share(_measured(docs, doc_id, text, host, F.monotonically_increasing_id()), "quality")
+    return _judged(f, _removed(f, _frequent(f, max_docs)), min_left, min_words).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"
     )
+
+
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents kept, without their frequent lines; other columns as they were."""
+    row = unused("row", docs)
+    numbered = share(docs.withColumn(row, F.monotonically_increasing_id()), "quality-documents")
+    f = share(_measured(numbered, doc_id, text, host, F.col(row)), "quality")
+    removed = share(_removed(f, _frequent(f, max_docs)), "quality-removed")
+    gone, own = removed.groupBy("row").agg(F.collect_set("h").alias("gone")), unused("gone", docs)
+    verdict = _judged(f, removed, min_left, min_words).where("kept").select("row").join(gone, "row", "left").withColumnsRenamed({"row": row, "gone": own})
+
+    @F.pandas_udf("string")
+    def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, lists in batches:
+            out = []
+            for t, hashes in zip(texts, lists):
+                if hashes is None or not len(hashes):
+                    out.append(t)
+                    continue
+                drop = set(hashes.tolist())
+                out.append("\n".join(x for x in t.split("\n") if not (w := encode(x).lower().split()) or line_hash(w) not in drop))
+            yield pd.Series(out, dtype=object)
+
+    cut = F.when(F.col(own).isNotNull(), without(F.col(text), F.col(own))).otherwise(F.col(text))
+    return numbered.join(verdict, row).select(*((cut if c.lower() == text.lower() else F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -20,8 +20,8 @@ def op3_jaccard(spark, sf_dir):
 
 
 def op4_decontamination(spark, sf_dir):
-    found = decontaminate.contamination(table(prepared(spark), sf_dir, "documents"), table(prepared(spark), sf_dir, "benchmark"))
-    return found.drop("longest_match_at", "longest_match_item")  # which of equally long ones is first is free
+    spark = prepared(spark)
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_quality_lines(spark, sf_dir):
