@@ -80,15 +80,16 @@ def _least(a: Column, b: Column) -> Column:
 
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Matches with their places; text has no EDGE."""
+    none = F.array().cast(SPAN)
 
     def placed(parts: Column) -> Column:
         ends = _running(F.transform(parts, F.length), _plus)
         both = F.zip_with(parts, ends, lambda x, end: F.struct((end - F.length(x)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x.alias("value")))
-        wanted = F.filter(both, lambda s, i: (i % 2 == 1) & (keep(s["value"]) if keep else F.lit(True)))
-        return F.when(F.size(parts) > 1, wanted).otherwise(F.array().cast(SPAN)).cast(SPAN)
+        # every second part is a match
+        return F.filter(both, lambda s, i: (i % 2 == 1) & (keep(s["value"]) if keep else F.lit(True))).cast(SPAN)
 
-    # every second part is a match
-    return _let(F.split(F.regexp_replace(text, pattern, f"{EDGE}$0{EDGE}"), EDGE, -1), placed)
+    # a search for any match first: most texts have none, and need no copy
+    return F.when(text.rlike(pattern), _let(F.split(F.regexp_replace(text, pattern, f"{EDGE}$0{EDGE}"), EDGE, -1), placed)).otherwise(none)
 
 
 def _apart(base: Column, found: Column) -> Column:
@@ -152,9 +153,13 @@ def _joined(spans: Column) -> Column:
 
 def base_and_more(text: Column) -> tuple[Column, Column]:
     """Spans (SPAN, by start, then kind) of the base rules, and a function of these for those of the entropy scan."""
-    t = F.translate(F.coalesce(text, F.lit("")), EDGE, OTHER)
-    long_enough = lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 6
-    base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, long_enough), _spans(t, ACCESS, 1, lambda v: F.length(v) >= 20), _spans(t, HEX, 2)))
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit(EDGE), F.lit(OTHER))
+    none = F.array().cast(SPAN)
+    low = F.lower(t)
+    named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("apikey") | low.contains("api_key")
+    assigned = _spans(t, ASSIGN, 0, lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 6)
+    access = _spans(t, ACCESS, 1, lambda v: F.length(v) >= 20)
+    base = F.array_sort(F.concat(F.when(named, assigned).otherwise(none), F.when(t.contains("AKIA"), access).otherwise(none), _spans(t, HEX, 2)))
     return base, lambda known: F.filter(_apart(known, _spans(t, CANDIDATE, 3)), lambda s: _random(s["value"]))
 
 
