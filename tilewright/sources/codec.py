@@ -1,7 +1,5 @@
-"""PNG in plain Python and numpy (all six pixel formats, 8 and 16 bits), raw tiles, and decoding by magic bytes.
-
-JPEG and TIFF have no decoder in this environment; `decoders` takes one by its magic bytes.
-"""
+"""PNG in plain Python and numpy (all six pixel formats, 8 and 16 bits), JPEG, TIFF and raw tiles, and decoding by
+magic bytes. `decoders` takes more decoders by their magic bytes."""
 
 from __future__ import annotations
 
@@ -14,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.resample import DTYPES, to_array
+from . import jpeg, tiff
 
 PNG = b"\x89PNG\r\n\x1a\n"
 COLOUR = {1: 0, 3: 2, 4: 6}
@@ -73,10 +72,15 @@ def decode_png(data: bytes) -> tuple[int, int, str, bytes]:
         if palette is None:
             raise DecodeError("palette missing")
         samples = palette[samples[..., 0]]
-    elif colour == 4:
+    return normalised(samples)
+
+
+def normalised(samples: np.ndarray) -> tuple[int, int, str, bytes]:
+    """(w, h, pixel format, samples) of (h, w, channels): one of the six pixel formats; grey with alpha becomes RGBA."""
+    if samples.shape[2] == 2:
         samples = samples[..., [0, 0, 0, 1]]
-    name = {1: "gray", 3: "rgb", 4: "rgba"}[samples.shape[2]] + str(depth)
-    return w, h, name, samples.tobytes()
+    h, w, n = samples.shape
+    return w, h, {1: "gray", 3: "rgb", 4: "rgba"}[n] + str(8 * samples.itemsize), np.ascontiguousarray(samples).tobytes()
 
 
 def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
@@ -104,6 +108,10 @@ def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.nd
 def decode(data: bytes) -> tuple[int, int, str, bytes]:
     if data[:8] == PNG:
         return decode_png(data)
+    if data[:3] == jpeg.MAGIC:
+        return normalised(jpeg.decode(data))
+    if data[:4] in tiff.MAGICS:
+        return normalised(tiff.decode(data))
     for magic, decoder in decoders.items():
         if data.startswith(magic):
             return decoder(data)
@@ -126,20 +134,32 @@ def decoded(files: DataFrame, path: str = "path", content: str = "content") -> D
     return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, w long, h long, pixel_format string, data binary, error string")
 
 
-def encoded(data: Column, w: Column, h: Column, pixel_format: Column, tile_format: str = "png") -> Column:
-    """Tile bytes: png or raw."""
+FORMATS = {"png": "png", "jpeg": "jpeg", "raw": "raw"}  # and their extensions
+
+
+def encode(data: bytes, w: int, h: int, pixel_format: str, tile_format: str = "png", quality: int = 80) -> bytes:
+    """Tile bytes. JPEG has 8 bits and no alpha: rgba8 loses its alpha, 16-bit formats are refused."""
     if tile_format == "raw":
-        return data
-    if tile_format != "png":
+        return bytes(data)
+    if tile_format == "png":
+        return encode_png(data, w, h, pixel_format)
+    if tile_format != "jpeg":
         raise ValueError(f"no encoder for {tile_format}")
+    if pixel_format.endswith("16"):
+        raise ValueError(f"JPEG can't hold {pixel_format}")
+    return jpeg.encode(to_array(data, h, w, pixel_format)[..., :3], quality)
 
-    @F.pandas_udf("binary")
-    def png(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for d, x, y, f in batches:
-            yield pd.Series([encode_png(bytes(a), int(b), int(c), e) for a, b, c, e in zip(d, x, y, f)], dtype=object)
 
-    return png(data, w, h, pixel_format)
+def encoded(data: Column, w: Column, h: Column, pixel_format: Column, tile_format: str = "png", quality: int = 80) -> Column:
+    """Tile bytes: png, jpeg or raw."""
+    if tile_format not in FORMATS:
+        raise ValueError(f"no encoder for {tile_format}")
+    if tile_format == "raw":
+        return data
 
+    @F.pandas_udf("binary")
+    def tile(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for d, x, y, f in batches:
+            yield pd.Series([encode(bytes(a), int(b), int(c), e, tile_format, quality) for a, b, c, e in zip(d, x, y, f)], dtype=object)
 
-def block_to_array(row) -> np.ndarray:
-    return to_array(row.data, row.h, row.w, row.pixel_format)
+    return tile(data, w, h, pixel_format)
