@@ -274,6 +274,8 @@ class _Decoder:
         self.progressive, self.frame = progressive, [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
         self.most = max(c[1] for c in self.frame), max(c[2] for c in self.frame)
         self.mcus = -(-self.w // (8 * self.most[0])), -(-self.h // (8 * self.most[1]))
+        if sum(self.mcus[0] * a * self.mcus[1] * b for _, a, b, _ in self.frame) > 8 * len(self.data):
+            raise JpegError("truncated")  # every block has a bit at least
         self.coefficients = {c: [[0] * 64 for _ in range(self.mcus[0] * a * self.mcus[1] * b)] for c, a, b, _ in self.frame}
 
     def _scan(self, body: bytes, at: int) -> int:
@@ -455,5 +457,5 @@ def decode(data: bytes) -> np.ndarray:
         return _Decoder(bytes(data)).run()
     except JpegError:
         raise
-    except (KeyError, IndexError, struct.error, StopIteration, AttributeError, ValueError, ZeroDivisionError) as e:
+    except (KeyError, IndexError, struct.error, StopIteration, AttributeError, TypeError, ValueError, ZeroDivisionError) as e:
         raise JpegError(f"corrupt JPEG: {e!r}") from e
