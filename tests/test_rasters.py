@@ -1,6 +1,7 @@
 import io
 import json
 import os
+import shutil
 import struct
 import tarfile
 import zipfile
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geo, hashing
 from tilewright.operators import contents, resample, tiles as cut
-from tilewright.plans import manifest
+from tilewright.plans import job as job_module, manifest, verification
 from tilewright.plans.job import PyramidJob
 from tilewright.sources import codec, pages, rasters, sinks
 
@@ -137,6 +138,46 @@ def test_decoding_keeps_errors_as_rows(spark):
     assert all(got[k].data is None and got[k].error for k in "bcde")
 
 
+def plain_blake3(data, chunk=0, flags=8):
+    """BLAKE3 block by block, after its specification."""
+    m32 = 0xFFFFFFFF
+
+    def compress(cv, block, counter, length, flags):
+        m, v = list(struct.unpack("<16I", block.ljust(64, b"\0"))), [*cv, *hashing.IV[:4], counter & m32, counter >> 32, length, flags]
+
+        def mix(a, b, c, d, x, y):
+            for word, r1, r2 in ((x, 16, 12), (y, 8, 7)):
+                v[a] = (v[a] + v[b] + word) & m32
+                t = v[d] ^ v[a]
+                v[d] = (t >> r1 | t << (32 - r1)) & m32
+                v[c] = (v[c] + v[d]) & m32
+                t = v[b] ^ v[c]
+                v[b] = (t >> r2 | t << (32 - r2)) & m32
+
+        for _ in range(7):
+            for i in range(4):
+                mix(i, 4 + i, 8 + i, 12 + i, m[2 * i], m[2 * i + 1])
+            for i in range(4):
+                mix(i, 4 + (i + 1) % 4, 8 + (i + 2) % 4, 12 + (i + 3) % 4, m[8 + 2 * i], m[9 + 2 * i])
+            m = [m[k] for k in hashing.PERMUTATION]
+        return [v[i] ^ v[i + 8] for i in range(8)]
+
+    if len(data) <= 1024:
+        cv, n = hashing.IV, max(1, -(-len(data) // 64))
+        for i in range(n):
+            block = data[64 * i : 64 * i + 64]
+            cv = compress(cv, block, chunk, len(block), (1 if i == 0 else 0) | ((2 | flags) if i == n - 1 else 0))
+        return cv
+    left = 1 << ((len(data) - 1) // 1024).bit_length() - 1
+    a, b = plain_blake3(data[: left * 1024], chunk, 0), plain_blake3(data[left * 1024 :], chunk + left, 0)
+    return compress(hashing.IV, struct.pack("<16I", *a, *b), 0, 64, 4 | flags)
+
+
+def test_blake3_of_many_values():
+    values = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 64, 65, 1023, 1024, 1025, 2048, 2049, 5000, 7168, 8193)]
+    assert hashing.blake3_all(values) == [struct.pack("<8I", *plain_blake3(v)).hex() for v in values] and hashing.blake3_all([]) == []
+
+
 def test_digests(spark):
     assert hashing.blake3_hex(b"abc") == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"
     r = spark.createDataFrame([(bytearray(b"abc"),)], "b binary").select(hashing.digest(F.col("b"), "sha256").alias("s"), hashing.digest(F.col("b")).alias("h")).first()
@@ -250,6 +291,144 @@ def test_job_tiles(spark, layout, overlap, side):
     assert got == reference_tiles(x, job, layers)
 
 
+@pytest.mark.parametrize(
+    ("layout", "overlap", "centre", "name", "side"),
+    [("deep_zoom", 3, False, "rgb8", 40), ("deep_zoom", 0, False, "gray16", 48), ("deep_zoom", 1, True, "rgb8", 16), ("google", 0, True, "rgba8", 33), ("xyz", 2, True, "gray8", 64), ("google", 2, False, "gray8", 16)],
+)
+def test_job_tiles_in_squares(spark, monkeypatch, layout, overlap, centre, name, side):
+    """Squares of two tiles, so that margins, offsets and later phases matter."""
+    monkeypatch.setattr(job_module, "SQUARE_BYTES", 1)
+    c, kind = resample.DTYPES[name]
+    x = rng.integers(0, 1 << (16 if kind == "<u2" else 8), (130, 171, c)).astype(kind)
+    job = PyramidJob(171, 130, 16, overlap, layout, centre, name)
+    levels, fill = job.levels(spark), cut.background(name)
+    now = x
+    if centre:
+        top = levels[-1]
+        now = np.broadcast_to(np.array(fill, x.dtype), (top.canvas_height, top.canvas_width, c)).copy()
+        now[top.offset_y : top.offset_y + 130, top.offset_x : top.offset_x + 171] = x
+    layers = {}
+    for r in reversed(levels):
+        layers[r.level] = now
+        now = resample.halve_array(now, c == 4)
+    rows = job.tiles(blocks(spark, x, name, side)).collect()
+    got = {(r.level, r.col, r.row): bytes(r.data) for r in rows}
+    want = {k: v for k, v in reference_tiles(layers[levels[-1].level], job, layers, fill).items() if any(k[0] == r.level and k[1] < r.cols and k[2] < r.rows for r in levels)}
+    assert len(rows) == len(got) == sum(r.cols * r.rows for r in levels) and got == want
+
+
+def failing(out, path):
+    """A folder where a tile's file should be: it can't be written."""
+    os.makedirs(f"{out}/{path}/x")
+    return lambda: (os.rmdir(f"{out}/{path}/x"), os.rmdir(f"{out}/{path}"))
+
+
+@pytest.mark.parametrize("square", [1, 1 << 20])
+def test_a_tile_that_cannot_be_written_is_not_done(spark, tmp_path, monkeypatch, square):
+    monkeypatch.setattr(job_module, "SQUARE_BYTES", square)
+    x = rng.integers(0, 256, (60, 60, 1)).astype(np.uint8)
+    source, out = blocks(spark, x, "gray8", 16), str(tmp_path / "img")
+    job = PyramidJob(60, 60, 16, pixel_format="gray8").with_checksums("blake3").with_failure_policy("retry_then_skip").with_retry(1, 1.0).with_resume("resume")
+    assert job.settings["failures"] == "retry_then_skip"
+    os.makedirs(out)
+    mend, total = failing(out, "6/2_1.png"), sum(r.cols * r.rows for r in job.levels(spark))
+    first = job.run(source, out)
+    assert (first["tiles_produced"], first["skipped_due_to_failure"], first["retry_count"]) == (total - 1, 1, 1)
+    m, state = manifest.read(open(out + "/manifest.json").read()), json.loads(open(out + "/.checkpoint.json").read())
+    assert "6/2_1.png" not in m["checksums"]["per_tile"] and len(m["checksums"]["per_tile"]) == total - 1
+    assert [v["tiles_skipped"] for v in m["levels"]] == [0] * 6 + [1]
+    assert {"level": 6, "col": 2, "row": 1} not in state["completed_tiles"] and state["levels_completed"] == list(range(6))
+    mend()
+    again = job.run(source, out)
+    assert again["tiles_produced"] == 1 and os.path.isfile(out + "/6/2_1.png") and job.with_resume("verify").run(source, out)["ok"] == total
+    assert json.loads(open(out + "/.checkpoint.json").read())["levels_completed"] == list(range(7))
+    assert not [n for n in os.listdir(out) if n.startswith(".work")]
+
+
+def test_a_run_that_failed_goes_on(spark, tmp_path):
+    x = rng.integers(0, 256, (60, 60, 1)).astype(np.uint8)
+    source, out = blocks(spark, x, "gray8", 32), str(tmp_path / "img")
+    job = PyramidJob(60, 60, 16, pixel_format="gray8").with_format("raw").with_checksums("sha256", "verify").with_resume("resume", checkpoint_every=1)
+    os.makedirs(out)
+    mend = failing(out, "6/3_3.raw")
+    with pytest.raises(Exception, match="3_3|directory"):
+        job.run(source, out)
+    assert not os.path.exists(out + "/manifest.json")
+    mend()
+    total = sum(r.cols * r.rows for r in job.levels(spark))
+    again = job.run(source, out)
+    assert 0 < again["tiles_produced"] < total and job.with_resume("verify").run(source, out)["ok"] == total
+    # a checkpoint that another program wrote, without the writers' files
+    state = open(out + "/.checkpoint.json").read()
+    shutil.rmtree(out + "/.checkpoint.d")
+    assert job.run(source, out)["tiles_produced"] == 0 and json.loads(open(out + "/.checkpoint.json").read())["completed_tiles"] == json.loads(state)["completed_tiles"]
+    assert PyramidJob(60, 60, 16, pixel_format="gray8").with_format("raw").run(source, out)["tiles_produced"] == total
+
+
+def test_verification(spark, tmp_path):
+    x = rng.integers(0, 256, (40, 40, 3)).astype(np.uint8)
+    source = blocks(spark, x, "rgb8", 16)
+    for kind, algorithm in (("png", "sha256"), ("jpeg", None), ("raw", "blake3")):
+        out = str(tmp_path / kind)
+        job = PyramidJob(40, 40, 16).with_format(kind)
+        job = job.with_checksums(algorithm) if algorithm else job
+        job.run(source, out)
+        n = sum(r.cols * r.rows for r in job.levels(spark))
+        assert job.with_resume("verify").run(source, out)["ok"] == n
+        report = verification.verify_output(spark, out)
+        assert tuple(report) == ((n, n, 0, 0) if algorithm else (0, 0, 0, 0))
+        path = f"{out}/6/1_1.{kind}"
+        data = bytearray(open(path, "rb").read())
+        data[len(data) // 2] ^= 255
+        open(path, "wb").write(data)
+        os.remove(f"{out}/5/0_0.{kind}")
+        got = job.with_resume("verify").run(source, out)
+        assert (got["ok"], got["missing"], got["mismatched"]) == (n - 2, 1, 1)
+        if algorithm:
+            assert tuple(verification.verify_output(spark, out)) == (n, n - 2, 1, 1)
+        with pytest.raises(manifest.ManifestError, match="another plan"):
+            PyramidJob(40, 40, 8).with_resume("verify").run(source, out)
+    with pytest.raises(verification.ManifestNotFound):
+        verification.verify_output(spark, str(tmp_path / "nothing"))
+    os.remove(str(tmp_path / "png.manifest.json"))
+    assert verification.verify_output(spark, str(tmp_path / "png")).tiles_checked > 0
+
+
+def test_events_and_builder(spark, tmp_path):
+    x = rng.integers(0, 256, (40, 40, 1)).astype(np.uint8)
+    seen = job_module.Collecting()
+    job = PyramidJob(40, 40, 16, pixel_format="gray8").with_config(engine="streaming", concurrency=1, buffer_size=2, memory_budget=(1 << 20, "auto_adjust"), format=("jpeg", 70), source_hash=True).with_observer(seen)
+    out = str(tmp_path / "img")
+    result = job.run_source(spark, lambda s: blocks(s, x, "gray8", 16), out, "memory")
+    n = sum(r.cols * r.rows for r in job.levels(spark))
+    kinds = [e["kind"] for e in seen]
+    assert kinds[:3] == ["SourceLoadStarted", "SourceLoaded", "PlanCreated"] and kinds[-2:] == ["Finished", "PipelineComplete"] and kinds.count("TileCompleted") == n
+    assert kinds.count("LevelStarted") == kinds.count("LevelCompleted") == 7 and kinds.count("BatchStarted") == kinds.count("BatchCompleted") >= 1
+    assert result["bytes_read"] == 1600 and result["peak_memory_bytes"] == 256 and result["duration"] > 0
+    m = manifest.read(open(out + "/manifest.json").read())
+    assert m["generation"]["format"] == {"kind": "jpeg", "quality": 70} and len(m["source"]["bytes_hash"]) == 64
+    counters, rows = PyramidJob(40, 40, 16, pixel_format="gray8").run_collect(blocks(spark, x, "gray8", 16), out)
+    assert counters["tiles_produced"] == len(rows) == n and os.path.isfile(out + "/6/0_0.png") and not os.path.exists(out + "/6/0_0.jpeg")
+    with pytest.raises(ValueError, match="unknown setting"):
+        job.with_config(colour="red")
+
+
+def test_links_and_slow_writers(spark, tmp_path):
+    x = np.zeros((32, 48, 1), np.uint8)
+    out, job = str(tmp_path / "img"), PyramidJob(48, 32, 16, pixel_format="gray8").with_format("raw").with_dedupe("blanks", links=True)
+    job.run(blocks(spark, x, "gray8", 16), out)
+    refs = manifest.read(open(out + "/manifest.json").read())["blank_references"]
+    assert len(refs) > 3 and all(os.path.islink(f"{out}/{p}") and open(f"{out}/{p}", "rb").read() == bytes(256) for p in refs)
+    assert job.with_resume("verify").run(blocks(spark, x, "gray8", 16), out)["mismatched"] == 0
+    spark.dataSource.register(sinks.TileDirectory)
+    rows = [(f"1/{i}.raw", bytearray(b"abc"), i == 1) for i in range(3)]
+    spark.createDataFrame(rows, "path string, data binary, blank boolean").coalesce(1).write.format("tile_directory").mode("append").option("path", out).option("delay_ms", "20").save()
+    assert open(out + "/1/1.raw", "rb").read() == b"\0" and json.load(open(out + "/_committed.json"))["tiles"] == 3
+    assert "secret" not in repr(sinks.ObjectConfig(bucket="b", secret_key="secret"))
+    with pytest.raises(ValueError, match="put"):
+        sinks.write_objects(None, None)
+
+
 def test_job_run_resume_verify_and_archives(spark, tmp_path):
     x = np.full((40, 40, 1), 9, np.uint8)
     x[:16, :16, 0] = rng.integers(0, 256, (16, 16))
@@ -269,10 +448,11 @@ def test_job_run_resume_verify_and_archives(spark, tmp_path):
         PyramidJob(40, 40, 8, pixel_format="gray8").with_resume("resume").run(source, out)
     written = job.archive(source, str(tmp_path / "a.tar.gz"), "a")
     with tarfile.open(tmp_path / "a.tar.gz") as t:
-        assert len(t.getnames()) == 2 * written < 2 * n
+        assert len(t.getnames()) == 2 * written + 2 < 2 * n and t.getnames()[-2:] == ["manifest.json", "a.dzi"]
+        assert json.loads(t.extractfile("manifest.json").read())["levels"][0] == {"level": 0, "width": 1, "height": 1, "cols": 1, "rows": 1}
     job.archive(source, str(tmp_path / "a.zip"), "a")
     with zipfile.ZipFile(io.BytesIO((tmp_path / "a.zip").read_bytes())) as z:
-        assert len(z.namelist()) == 2 * written
+        assert len(z.namelist()) == 2 * written + 2
 
 
 def test_job_dedupe(spark, tmp_path):
