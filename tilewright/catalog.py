@@ -114,7 +114,7 @@ def tile_paths_all_layouts(spark, sf):
     return planner.paths(named).select("image_id", "level", "col", "row", "layout", "path")
 
 
-@query(ORACLE_SQL["tile_paths_all_layouts"].replace("layout, CASE", "layout, CASE").replace("AS path FROM", "AS path FROM"))
+@query(ORACLE_SQL["tile_paths_all_layouts"])
 def tile_paths_parsed(spark, sf):
     """Paths back to coordinates: the rows of tile_paths_all_layouts again."""
     p = tile_paths_all_layouts(spark, sf).select("image_id", "layout", "path")
@@ -493,20 +493,37 @@ def page_dpi_budget(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tm.budgeted_dpi(w, h, F.lit(300), F.lit(1_000_000)).alias("d")).select("p_partkey", "d.*")
 
 
-@query("WITH r AS (SELECT p_partkey, p_size % 4 * 90 AS rot, 600.0 AS w, 800.0 AS h, 2.0 AS s, CAST(p_size AS DOUBLE) AS y FROM part) SELECT p_partkey, rot, CASE rot WHEN 0 THEN [s, 0.0, 0.0, -s, 0.0, s * h - y] WHEN 90 THEN [0.0, s, s, 0.0, 0.0, -y] WHEN 180 THEN [-s, 0.0, 0.0, s, s * w, -y] ELSE [0.0, -s, -s, 0.0, s * w, s * h - y] END[5] AS m5, CASE rot WHEN 0 THEN s * h - y WHEN 90 THEN -y WHEN 180 THEN -y ELSE s * h - y END AS m6 FROM r")
+STRIP_MATRIX = """
+WITH r AS (SELECT p_partkey, p_size % 4 * 90 AS rot, 600.0 AS w, 800.0 AS h, 2.0 AS s, CAST(p_size AS DOUBLE) AS y FROM part),
+m AS (SELECT p_partkey, rot, CASE rot
+  WHEN 0 THEN [s, 0, 0, -s, 0, s * h - y] WHEN 90 THEN [0, s, s, 0, 0, -y]
+  WHEN 180 THEN [-s, 0, 0, s, s * w, -y] ELSE [0, -s, -s, 0, s * w, s * h - y] END AS m FROM r)
+SELECT p_partkey, rot, """ + ", ".join(f"CAST(m[{i}] AS DOUBLE) + 0.0 AS m{i}" for i in range(1, 7)) + " FROM m"
+
+
+@query(STRIP_MATRIX)
 def page_strip_matrix(spark, sf):
     rot = F.col("p_size") % 4 * 90
     m = tm.strip_matrix(rot, F.lit(2.0), F.lit(600.0), F.lit(800.0), F.col("p_size"))
-    return table(spark, sf, "part").select("p_partkey", rot.alias("rot"), m.alias("m")).select("p_partkey", "rot", F.col("m")[4].alias("m5"), F.col("m")[5].alias("m6"))
+    rows = table(spark, sf, "part").select("p_partkey", rot.alias("rot"), m.alias("m"))
+    return rows.select("p_partkey", "rot", *((F.col("m")[i] + F.lit(0.0)).alias(f"m{i + 1}") for i in range(6)))
 
 
 FLOAT = "CAST({} AS FLOAT)".format
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS i, CAST(trunc(({FLOAT(1)} - {FLOAT('i')} / {FLOAT(255)}) * ({FLOAT(1)} - {FLOAT(51)} / {FLOAT(255)}) * {FLOAT(255)}) AS INTEGER) AS r FROM (SELECT unnest(range(256)) AS i)")
+def cmyk_sql(x: str, name: str) -> str:
+    part = lambda v: f"({FLOAT(1)} - {FLOAT(v)} / {FLOAT(255)})"
+    return f"CAST(trunc({part(x)} * {part('k')} * {FLOAT(255)}) AS INTEGER) AS {name}"
+
+
+@query(
+    "WITH v AS (SELECT CAST(i AS BIGINT) AS i, i % 256 AS c, i * 7 % 256 AS m, i * 13 % 256 AS y, i * 29 // 4 % 256 AS k FROM (SELECT unnest(range(2048)) AS i)) "
+    f"SELECT i, {cmyk_sql('c', 'r')}, {cmyk_sql('m', 'g')}, {cmyk_sql('y', 'b')} FROM v"
+)
 def cmyk(spark, sf):
     v = F.col("id")
-    return spark.range(256).select(v.alias("i"), tm.cmyk_to_rgb(v, v, v, F.lit(51)).alias("p")).select("i", "p.r")
+    return spark.range(2048).select(v.alias("i"), tm.cmyk_to_rgb(v % 256, v * 7 % 256, v * 13 % 256, tm.idiv(v * 29, 4) % 256).alias("p")).select("i", "p.*")
 
 
 # -- runs -----------------------------------------------------------------------------------------
@@ -539,13 +556,36 @@ def manifest_json(spark, sf):
     return back.select("p_partkey", F.col("m.generation.tile_size").alias("tile_size"), F.col("m.generation.layout").alias("layout"), total.alias("tiles"))
 
 
+def _identities(spark, sf) -> DataFrame:
+    """image_id and the bytes that tell its plan from others."""
+    levels = planner.levels(planner.plan(images(spark, sf, "google", overlap=1, centre=True)))
+    row = F.struct("level", "level_width", "level_height", "cols", "rows")
+    keys = ["image_id", "width", "height", "tile_size", "overlap", "layout", "canvas_width", "canvas_height", "centre", "offset_x", "offset_y"]
+    return hashing.plan_bytes_of(levels.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("levels")))
+
+
 @query()
 def plan_hashes(spark, sf):
-    """An identity for every plan of the catalogue."""
-    levels = planner.levels(planner.plan(images(spark, sf)))
-    key = F.concat_ws(",", *(F.col(c).cast("string") for c in ("level", "level_width", "level_height", "cols", "rows")))
-    per = levels.groupBy("image_id", "width", "height", "canvas_width", "canvas_height").agg(F.array_join(F.array_sort(F.collect_list(key)), ";").alias("shape"))
-    return per.select("image_id", hashing.digest(F.encode(F.concat_ws("|", "width", "height", "canvas_width", "canvas_height", "shape"), "UTF-8")).alias("plan_hash"))
+    """The identity of every plan of the catalogue."""
+    return _identities(spark, sf).select("image_id", hashing.digest(F.col("identity")).alias("plan_hash"))
+
+
+def _le32(x: str) -> str:
+    h = f"printf('%08x', CAST({x} AS BIGINT))"
+    return " || ".join(f"substr({h}, {i}, 2)" for i in (7, 5, 3, 1))
+
+
+_HEAD = [_le32(x) for x in ("width", "height", "256", "1")] + ["'03'"] + [_le32("canvas_width"), _le32("canvas_height"), "'01'", _le32("offset_x"), _le32("offset_y")]
+PLAN_IDENTITY = (
+    f"WITH {levels_sql('google', 256, True)}, l AS (SELECT image_id, string_agg({' || '.join(_le32(x) for x in ('level', 'level_width', 'level_height', 'cols', 'rows'))}, '' ORDER BY level) AS body, count(*) AS n FROM lv GROUP BY image_id) "
+    f"SELECT image_id, sha256(unhex(hex('tilewright plan 1') || {' || '.join(_HEAD)} || {_le32('n')} || '00000000' || body)) AS sha256 FROM pl JOIN l USING (image_id)"
+)
+
+
+@query(PLAN_IDENTITY)
+def plan_identity(spark, sf):
+    """The same bytes under a digest that SQL has."""
+    return _identities(spark, sf).select("image_id", F.sha2("identity", 256).alias("sha256"))
 
 
 @query(f"WITH {GRAY}, n AS (SELECT count(*) AS hh FROM embeddings) SELECT y, x, c0 FROM px")
@@ -603,3 +643,6 @@ def largest_images(spark, sf):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pyramid_tiles(spark, sf_dir)
+
+
+from . import catalog_jobs  # noqa: E402, F401  adds its queries to those above

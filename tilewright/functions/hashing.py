@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Fixed values of BLAKE3: initial words, message permutation, flags.
 IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
@@ -108,8 +108,27 @@ def digest(data: Column, algorithm: str = "blake3") -> Column:
     return F.sha2(data.cast("binary"), 256) if algorithm == "sha256" else blake3(data)
 
 
-def plan_hash(width: int, height: int, tile_size: int, overlap: int, layout: str, canvas: tuple[int, int], centre: bool, offset: tuple[int, int], levels: list[tuple[int, int, int, int, int]]) -> str:
-    """Identity of a plan, so that a run is only resumed under the plan that began it."""
+def plan_bytes(width: int, height: int, tile_size: int, overlap: int, layout: str, canvas: tuple[int, int], centre: bool, offset: tuple[int, int], levels: list[tuple[int, int, int, int, int]]) -> bytes:
+    """What tells a plan from others."""
     tag = {"deep_zoom": 1, "xyz": 2, "google": 3}[layout]
     head = struct.pack("<4IB2IB2I", width, height, tile_size, overlap, tag, *canvas, centre, *offset)
-    return blake3_hex(b"tilewright plan 1" + head + struct.pack("<Q", len(levels)) + b"".join(struct.pack("<5I", *x) for x in levels))
+    return b"tilewright plan 1" + head + struct.pack("<Q", len(levels)) + b"".join(struct.pack("<5I", *x) for x in levels)
+
+
+def plan_hash(*plan) -> str:
+    """Identity of a plan, so that a run is only resumed under the plan that began it."""
+    return blake3_hex(plan_bytes(*plan))
+
+
+def plan_bytes_of(plans: DataFrame) -> DataFrame:
+    """image_id, identity (plan_bytes) of plan rows with their levels as an array."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                levels = [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in r.levels]
+                rows.append((r.image_id, plan_bytes(r.width, r.height, r.tile_size, r.overlap, r.layout, (r.canvas_width, r.canvas_height), r.centre, (r.offset_x, r.offset_y), levels)))
+            yield pd.DataFrame(rows, columns=["image_id", "identity"])
+
+    return plans.mapInPandas(run, f"image_id {plans.schema['image_id'].dataType.simpleString()}, identity binary")

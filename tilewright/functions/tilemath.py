@@ -109,6 +109,11 @@ def archive_stem(path: Column) -> Column:
     return F.when(name.rlike(r"\.(tar\.gz|tgz)$"), F.regexp_replace(name, r"\.(tar\.gz|tgz)$", "")).otherwise(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
 
 
+def archive_entries(stem: Column, path: Column) -> Column:
+    """The two names of a tile in an archive."""
+    return F.array(F.concat(stem, F.lit("_files/"), path), F.concat(stem, F.lit("/"), path))
+
+
 def shared_path(digest: Column, path: Column) -> Column:
     extension = F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
     return F.concat(F.lit("_shared/blank_"), digest, F.lit("."), F.when(extension == "", "bin").otherwise(extension))

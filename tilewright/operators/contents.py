@@ -16,6 +16,18 @@ def deduped(items: DataFrame, digest: str, *order: str) -> DataFrame:
     return items.join(first, digest).withColumn("decision", F.when(F.struct(*order) == F.col("__first"), "write_new").otherwise("reference")).drop("__first")
 
 
+def seeded(items: DataFrame, index: DataFrame, digest: str, *order: str) -> DataFrame:
+    """The same with an index (digest) of contents that an earlier run has written: what it knows is a reference."""
+    known = index.select(digest).distinct().withColumn("__known", F.lit(True))
+    out = deduped(items, digest, *order).join(known, digest, "left")
+    return out.withColumn("decision", F.when(F.col("__known"), "reference").otherwise(F.col("decision"))).drop("__known")
+
+
+def forgotten(index: DataFrame, paths: DataFrame, path: str = "path") -> DataFrame:
+    """An index (digest, path) without the entries of paths that are no more."""
+    return index.join(paths.select(path), path, "left_anti")
+
+
 def references(decided: DataFrame, digest: str, path: str) -> DataFrame:
     """path -> shared path of the items that are references."""
     return decided.where("decision = 'reference'").select(path, shared_path(F.col(digest), F.col(path)).alias("shared_path"))

@@ -59,20 +59,23 @@ def cut(pixels: DataFrame, width: Column | int, height: Column | int, tile_size:
     return spread(spread(pixels, "col", "x", width), "row", "y", height)
 
 
-def tile_stats(pixels: DataFrame, width: int, height: int, tile_size: int, overlap: int = 0, google: bool = False, fill: tuple[int, ...] | None = None, tolerance: int = 0) -> DataFrame:
+def tile_stats(pixels: DataFrame, width: int, height: int, tile_size: int, overlap: int = 0, google: bool = False, fill: tuple[int, ...] | None = None, tolerance: int = 0, sample_bytes: int = 1) -> DataFrame:
     """Per tile: w, h as written, n_pad background pixels, channel sums with padding, blank (all pixels within
-    tolerance of the first). Without overlap, and for google always, tiles are padded to tile_size."""
+    tolerance of the first, byte by byte: with sample_bytes 2 either byte of a sample counts by itself). Without overlap,
+    and for google always, tiles are padded to tile_size."""
     names = channel_columns(pixels)
     keys = [c for c in pixels.columns if c not in (*names, "x", "y")]
     fill = fill or (255,) * len(names)
     overlap = 0 if google else overlap
     own = cut(pixels, width, height, tile_size, overlap)
-    first = lambda c: F.min_by(c, F.struct("y", "x"))
+    byte = lambda c, i: idiv(F.col(c), 256**i) % 256 if sample_bytes > 1 else F.col(c)
+    each = [(f"{c}_{i}", byte(c, i), v // 256**i % 256 if sample_bytes > 1 else v) for c, v in zip(names, fill) for i in range(sample_bytes)]
     per = own.groupBy(*keys, "col", "row").agg(
         F.count("*").alias("n"),
         (F.max("x") - F.min("x") + 1).cast("long").alias("w0"),
         (F.max("y") - F.min("y") + 1).cast("long").alias("h0"),
-        *(a for c in names for a in (F.sum(c).alias(f"sum_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), first(c).alias(f"first_{c}"))),
+        *(F.sum(c).alias(f"sum_{c}") for c in names),
+        *(a for c, x, _ in each for a in (F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}"), F.min_by(x, F.struct("y", "x")).alias(f"first_{c}"))),
     )
     padded = google or overlap == 0
     area = long(tile_size * tile_size) if padded else F.col("n")
@@ -84,7 +87,7 @@ def tile_stats(pixels: DataFrame, width: int, height: int, tile_size: int, overl
         return (high - F.col(f"first_{c}") <= tolerance) & (F.col(f"first_{c}") - low <= tolerance)
 
     blank = F.lit(True)
-    for c, v in zip(names, fill):
+    for c, _, v in each:
         blank = blank & near(c, v)
     size = lambda c: long(tile_size) if padded else F.col(c)
     return per.select(*keys, "col", "row", size("w0").alias("w"), size("h0").alias("h"), pad.alias("n_pad"), *((F.col(f"sum_{c}") + pad * v).cast("long").alias(f"sum_{c}") for c, v in zip(names, fill)), blank.alias("blank"))
