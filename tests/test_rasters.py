@@ -480,11 +480,13 @@ def test_budget_and_settings(spark):
             bad(PyramidJob(1, 1))
 
 
-def test_strips_as_a_stream(spark, tmp_path):
+@pytest.mark.parametrize("height", [48, 40, 37])
+def test_strips_as_a_stream(spark, tmp_path, height):
     from tilewright.streaming import strips
 
-    x = rng.integers(0, 256, (48, 5, 1)).astype(np.uint8)
-    rows = [("i", 3, k, 8, 5, "gray8", x[8 * k : 8 * k + 8].tobytes()) for k in (1, 0, 2, 5, 4, 3)]
+    x = rng.integers(0, 256, (height, 5, 1)).astype(np.uint8)
+    n = -(-height // 8)
+    rows = [("i", 3, k, min(8, height - 8 * k), 5, "gray8", x[8 * k : 8 * k + 8].tobytes()) for k in (1, 0, 2, 5, 4, 3) if k < n]
     want = resample.halve_array(x, False)
     batch = strips.paired(strips.halved(spark.createDataFrame(rows, strips.STRIP_SCHEMA))).orderBy("pair").collect()
     assert b"".join(bytes(r.data) for r in batch) == want.tobytes()
@@ -492,12 +494,41 @@ def test_strips_as_a_stream(spark, tmp_path):
         spark.createDataFrame([r], strips.STRIP_SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(strips.STRIP_SCHEMA).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in/*"))
-    q = strips.paired_stream(strips.halved(stream)).writeStream.format("memory").queryName("pairs").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q = strips.paired_stream(strips.halved(stream), F.lit(n)).writeStream.format("memory").queryName(f"pairs{height}").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = spark.table("pairs").orderBy("pair").collect()
+    got = spark.table(f"pairs{height}").orderBy("pair").collect()
     assert b"".join(bytes(r.data) for r in got) == want.tobytes()
 
 
+def test_page_strips(spark):
+    page = rng.integers(0, 256, (30, 20, 4)).astype(np.uint8)
+    calls = []
+
+    class Renderer(pages.PageRenderer):
+        def render(self, data, number, dpi, y, h):
+            calls.append((y, h))
+            return page[y : y + h]
+
+    for cached in (True, False):
+        calls.clear()
+        strips = pages.PageStrips(Renderer(), b"", 1, 72, 20, 30, cached=cached)
+        assert b"".join(strips.strip(y, 8).tobytes() for y in (0, 8, 16, 24)) == page.tobytes()
+        assert calls == ([(0, 30)] if cached else [(0, 8), (8, 8), (16, 8), (24, 6)])
+        assert strips.strip(24, 8).shape == (6, 20, 4) and strips.strip(30, 5).shape == (5, 20, 4) and not strips.strip(99, 5).any()
+    df = spark.createDataFrame([("a", 1, bytearray(page.tobytes()), 20, 30)], "path string, page_number long, content binary, width long, height long")
+    got = pages.page_strips(df, RawRenderer(), 72, 8).orderBy("y0").collect()
+    assert b"".join(bytes(r.data) for r in got) == page.tobytes() and [r.h for r in got] == [8, 8, 8, 6] and {r.image_id for r in got} == {"a#1"}
+    with pytest.raises(pages.PageError):
+        pages.PageStrips(pages.PageRenderer(), b"", 1, 72, 20, 30, cached=True).strip(0, 8)
+
+
+class RawRenderer(pages.PageRenderer):
+    """Takes the file for the page's pixels."""
+
+    def render(self, data, number, dpi, y, h):
+        return np.frombuffer(data, np.uint8).reshape(-1, 20, 4)[y : y + h]
+
+
 def test_strip_source(spark):
     spark.dataSource.register(rasters.StripSource)
     got = spark.read.format("raster_strips").options(width="20", height="15", strip_height="4").load().orderBy("y0").collect()

@@ -214,3 +214,45 @@ class PageRenderer:
 
     def render(self, data: bytes, page: int, dpi: int, y: int, h: int) -> np.ndarray:
         raise PageError("no renderer for vector pages")
+
+
+class PageStrips:
+    """Strips of one page. cached: the page is rendered once and sliced; else each strip by itself, so that no more than a
+    strip is held. Beyond the page a strip is all zero, of the height asked for; the last one ends with the page."""
+
+    def __init__(self, renderer: PageRenderer, data: bytes, page: int, dpi: int, width: int, height: int, cached: bool = False):
+        self.renderer, self.data, self.page, self.dpi, self.width, self.height, self.cached, self.held = renderer, data, page, dpi, width, height, cached, None
+
+    def strip(self, y: int, h: int) -> np.ndarray:
+        if y >= self.height:
+            return np.zeros((h, self.width, 4), np.uint8)
+        h = min(h, self.height - y)
+        if not self.cached:
+            return self.renderer.render(self.data, self.page, self.dpi, y, h)
+        if self.held is None:
+            self.held = self.renderer.render(self.data, self.page, self.dpi, 0, self.height)
+        return self.held[y : y + h]
+
+
+def page_strips(files: DataFrame, renderer: PageRenderer, dpi: int, strip_height: int, cached: bool = False) -> DataFrame:
+    """Blocks (BLOCK_SCHEMA, rgba8) of pages: rows path, page_number, content, width, height (in pixels at that DPI). Without
+    the cache strips are spread over tasks, each with its file; with it a page's strips are made where the page is rendered."""
+    from ..operators.resample import BLOCK_SCHEMA
+
+    step = F.lit(strip_height).cast("long")
+    rows = files.select("path", "page_number", "content", "width", "height")
+    if not cached:
+        rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1, step))).repartition("path", "page_number", "y")
+    else:
+        rows = rows.withColumn("y", F.lit(None).cast("long"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                strips = PageStrips(renderer, bytes(r.content), int(r.page_number), dpi, int(r.width), int(r.height), cached)
+                for y in [int(r.y)] if not cached else range(0, int(r.height), strip_height):
+                    x = np.ascontiguousarray(strips.strip(y, strip_height))
+                    row = (f"{r.path}#{r.page_number}", 0, y, 0, x.shape[0], x.shape[1], "rgba8", x.tobytes())
+                    yield pd.DataFrame([row], columns=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
+
+    return rows.mapInPandas(run, BLOCK_SCHEMA)

@@ -2,7 +2,8 @@
 
 Each strip is halved where it arrives (strips begin at even rows), so only pairing its halves needs state: the
 first of a pair waits, keyed by image, level and pair; when the second comes both are stacked in the order of
-their index, not of arrival. What is left at the end of input is the last pair of an odd count.
+their index, not of arrival. Where the number of an image's strips is known, the last one of an odd count goes out alone
+as it comes; else it stays in the state, for a stream has no end.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.tilemath import idiv
@@ -59,10 +60,11 @@ class Pairing(StatefulProcessor):
         self.waiting = handle.getValueState("waiting", "strip long, h long, w long, pixel_format string, data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = [tuple(self.waiting.get())] if self.waiting.exists() else []
+        parts, alone = [tuple(self.waiting.get())] if self.waiting.exists() else [], False
         for batch in rows:
+            alone = alone or bool(((batch["strip"] + 1 == batch["n_strips"]) & (batch["strip"] % 2 == 0)).any())
             parts += batch[["strip", "h", "w", "pixel_format", "data"]].itertuples(index=False, name=None)
-        if len(parts) < 2:
+        if len(parts) < 2 and not alone:
             self.waiting.update(parts[0])
             return
         self.waiting.clear()
@@ -72,8 +74,9 @@ class Pairing(StatefulProcessor):
         pass
 
 
-def paired_stream(strips: DataFrame) -> DataFrame:
-    keyed = strips.withColumn("pair", idiv(F.col("strip"), 2))
+def paired_stream(strips: DataFrame, n_strips: Column | None = None) -> DataFrame:
+    """n_strips: how many strips the strip's image has, if known."""
+    keyed = strips.withColumns({"pair": idiv(F.col("strip"), 2), "n_strips": F.lit(None).cast("long") if n_strips is None else n_strips.cast("long")})
     return keyed.groupBy("image_id", "level", "pair").transformWithStateInPandas(Pairing(), PAIR_SCHEMA, "append", "none")
 
 
