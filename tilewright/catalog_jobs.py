@@ -198,9 +198,9 @@ def job_sums(tiles: DataFrame) -> DataFrame:
 def _job(spark, sf, overlap: int, tile: int = 16) -> DataFrame:
     """The four largest levels of a job over the vectors' raster, numbered from 0."""
     n = table(spark, sf, "embeddings").count()
-    job = PyramidJob(64, n, tile, overlap, pixel_format="gray8").with_memory_budget(4 * tile * tile, "auto_adjust")
+    job = PyramidJob(64, n, tile, overlap, pixel_format="gray8").with_memory_budget(16 * tile * tile, "auto_adjust")
     top = job.levels(spark)[-1].level
-    return job_sums(job.tiles(gray_blocks(spark, sf, 64)).where(F.col("level") > top - 4)).withColumn("level", F.col("level") - (top - 3))
+    return job_sums(job.tiles(gray_blocks(spark, sf, 64), top - 3)).withColumn("level", F.col("level") - (top - 3))
 
 
 def job_sql(overlap: int, tile: int = 16) -> str:

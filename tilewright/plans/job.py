@@ -274,9 +274,9 @@ class PyramidJob:
     def _padded(self) -> bool:
         return self.centre or self.layout == "google"
 
-    def tiles(self, blocks: DataFrame) -> DataFrame:
-        """TILE_SCHEMA rows with path, lazily (run() computes pixels once; here a later phase repeats the earlier ones).
-        blocks (BLOCK_SCHEMA; their level is set here) cover the image."""
+    def tiles(self, blocks: DataFrame, least: int = 0) -> DataFrame:
+        """TILE_SCHEMA rows with path, lazily (run() computes pixels once; here a later phase repeats the earlier ones), down
+        to level `least`. blocks (BLOCK_SCHEMA; their level is set here) cover the image."""
         spark = blocks.sparkSession
         levels = self.levels(spark)
         level, source, out = levels[-1].level, True, None
@@ -286,11 +286,12 @@ class PyramidJob:
             own = made.where("kind = 'tile'")
             out = own if out is None else out.unionByName(own)
             level, source = level - k, False
-            if level <= 0:
+            if level <= least:
                 break
             blocks = made.where("kind = 'block'").select(*names(BLOCK_SCHEMA))
         if self._padded:
             out = out.unionByName(self._missing(spark, out))
+        out = out.where(F.col("level") >= least) if least else out
         return planner.paths(out.drop("kind", "y0", "x0").withColumn("layout", F.lit(self.layout)), self._extension).drop("layout")
 
     @property
