@@ -251,8 +251,9 @@ def test_jaccard_odd_rows(odd, odd_rows, none):
     for r in df.collect():
         assert r.component_id == r.doc_id
     assert jaccard_join.jaccard_components(none).count() == 0
-    kept = jaccard_join.one_of_each(odd)
-    assert kept.columns == odd.columns and kept.count() == len(odd_rows) - 1
+    named = odd.withColumns({c: F.lit("own") for c in ("KEY", "print", "__gone")})
+    kept = jaccard_join.one_of_each(named)
+    assert kept.columns == named.columns and kept.count() == len(odd_rows) - 1
 
 
 # -- repeated passages
@@ -454,6 +455,11 @@ def test_mixed_documents(corpus, odd):
     assert {i: n for i, n in taken.items() if n} == dict(sums)
     assert [r.mix_position for r in got] == sorted(r.mix_position for r in got)
     assert mixing.mixed_documents(odd).columns == [*odd.columns, "mix_copy", "mix_words", "mix_position"]
+    named = odd.withColumns({c: F.lit("own") for c in ("__size", "doc", "order", "print", "copy", "part", "total", "a.b", "MIX_COPY")}).withColumn("m", F.create_map(F.lit("a"), F.lit("b")))
+    out = mixing.mixed_documents(named)
+    assert out.columns == [*[c for c in named.columns if c != "MIX_COPY"], "mix_copy", "mix_words", "mix_position"]
+    rows = out.collect()
+    assert all(r["__size"] == r["order"] == r["a.b"] == "own" for r in rows) and sum(r.doc_id == 5 and r.text.startswith("same") for r in rows) >= 2
 
 
 # -- HTML
