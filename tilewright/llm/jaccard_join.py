@@ -37,7 +37,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_words, semi_joined, share, unused, window_hashes, word_hashes
+from .common import dropped, few, lower_words, semi_joined, share, unused, window_hashes, word_hashes
 from .components import components
 
 WORDS = 3
@@ -246,7 +246,7 @@ def _block(of: Column) -> Column:
 
 
 def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n_shingles, print) per row; (print, node, doc_id) per class of equal sets; (node, component) of linked classes."""
+    """(doc_id, n_shingles, print) per row; (print, node, doc_id, n) per class of n equal sets; (node, component) of linked classes."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = docs.select("doc_id", _sets(F.col("text"), words, percent).alias("s")).select(F.monotonically_increasing_id().alias("node"), "doc_id", "s.*")
     rows = share(rows, "jaccard-rows")
@@ -269,6 +269,7 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     more = F.greatest(F.lit(0), prefix - (F.col("n_shingles") - F.size(high))).cast("int")
     first = F.concat(F.slice(low, F.lit(1), room), F.slice(high, F.lit(1), more))
     postings = share(shared.select("node", "n_shingles", F.explode(first["token"]).alias("bucket")), "jaccard-postings")
+    dropped(copies, often)
     # sets of the wanted similarity have sizes in the same class or in neighbouring ones: a window holds the sets of
     # its own class and those of the next, and counts if it has one of its own
     size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.0001 * math.log(100 / percent))).cast("long")
@@ -278,11 +279,14 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     of = windows.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.col("seat") % 2).alias("own"), F.sum("n_shingles").alias("weight"), F.min("seat").alias("least"), F.bit_xor(F.xxhash64("seat")).alias("x"), F.bit_xor(F.xxhash64("seat", F.lit(1))).alias("y")).where("m > 1 and own = 0")
     of = of.groupBy("m", "weight", "least", "x", "y").agg(F.min("bucket").alias("bucket"))
     members = share(windows.join(of.select("bucket", "least", _blocks(F.col("weight")).alias("blocks")), "bucket"), "jaccard-members")
+    dropped(postings)
     # documents connected by buckets are a cluster; one of bounded size is joined at once, each set sent once
     cluster = components(members.select(F.col("seat").alias("a"), F.col("least").alias("b")))
     sized = members.select("seat", "node", "n_shingles").distinct().join(cluster.withColumnsRenamed({"node": "seat", "component": "cluster"}), "seat")
-    large = sized.groupBy("cluster").agg(F.sum("n_shingles").alias("w")).where(F.col("w") > BLOCK).select("cluster", F.lit(True).alias("large"))
-    sized = share(sized.join(large, "cluster", "left").select("node", "seat", "cluster", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-clusters")
+    # written first, as before; of a cluster that is large there is one row
+    large = share(sized.groupBy("cluster").agg(F.sum("n_shingles").alias("w")).where(F.col("w") > BLOCK).select("cluster"), "jaccard-large")
+    marked = large.withColumn("large", F.lit(True))
+    sized = share(sized.join(F.broadcast(marked) if few(large) else marked, "cluster", "left").select("node", "seat", "cluster", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-clusters")
     seats = sized.groupBy("node").agg(F.collect_set(F.struct("cluster", "large")).alias("seats"))  # two at most
     # the whole sets of these documents alone
     wanted = share(classes.select("node", "doc_id", "print").join(seats, "node"), "jaccard-wanted")
@@ -292,7 +296,7 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     links = share(_links(of_clusters, percent), "jaccard-links")
     in_large = members.join(sized.where("large").select("seat"), "seat", "left_semi")
     if in_large.isEmpty():
-        return rows.select("doc_id", "n_shingles", "print"), classes.select("print", "node", "doc_id"), share(components(links), "jaccard-components")
+        return rows.select("doc_id", "n_shingles", "print"), classes.select("print", "node", "doc_id", "n"), share(components(links), "jaccard-components")
     sets = share(sets.where(F.exists("seats", lambda x: x["large"])).select("node", "set"), "jaccard-sets")
     first = in_large.withColumns({"block": _block(F.col("blocks")), "component": F.col("node")}).join(sets, "node")
     links = links.unionByName(share(_links(first, percent), "jaccard-links"))
@@ -301,7 +305,7 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     if not several.isEmpty():
         links = links.unionByName(share(_links(_second(several, found, sets), percent), "jaccard-links"))
         found = share(components(links), "jaccard-components")
-    return rows.select("doc_id", "n_shingles", "print"), classes.select("print", "node", "doc_id"), found
+    return rows.select("doc_id", "n_shingles", "print"), classes.select("print", "node", "doc_id", "n"), found
 
 
 def _second(large: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
@@ -327,7 +331,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     linked = classes.select("print", "node", "doc_id").join(found, "node")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = linked.select("print", "component").join(least, "component").select("print", "component_id")
-    label = classes.select("print", "doc_id").join(linked, "print", "left").select("print", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # of classes that stand alone a row's own doc_id will do; written first, so that Spark can split the join at a hot class
+    label = classes.join(linked, "print", "left").where("n > 1 or component_id is not null").select("print", F.coalesce("component_id", "doc_id").alias("component_id"))
+    label = share(label, "jaccard-labels")
     rows = rows.withColumn("print", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("print")))
     return rows.join(label, "print", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

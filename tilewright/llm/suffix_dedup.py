@@ -308,6 +308,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     whole = F.col("last") > F.col("doc")
     text_spans = F.array_join(F.zip_with("starts", "ends", lambda a, b: F.concat_ws(":", a.cast("string"), b.cast("string"))), ",")
     per = classes.select("print", "doc", "last").join(passages.select("print", "first", "n_repeat_words", "n_later_words", text_spans.alias("spans")), "print", "left").where(whole | F.col("first").isNotNull())
+    per = share(per, "suffix-classes-found")  # so that Spark can split the join at a hot class
     keyed = rows.select("doc_id", "n_words", F.when((F.col("n_words") >= length) & F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
     later = F.coalesce("n_later_words", F.lit(0))
     return keyed.join(per, "print", "left").select(
