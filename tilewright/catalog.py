@@ -81,7 +81,8 @@ def tiles_sql(layout: str, ts: int, ov: int, where: str) -> str:
     side = lambda i, size: (f"{i} * {ts}", f"{ts}") if layout == "google" else (f"CASE WHEN {i} = 0 THEN 0 ELSE {i} * {ts} - {ov} END", f"least(({i} + 1) * {ts} + {ov}, {size}) - CASE WHEN {i} = 0 THEN 0 ELSE {i} * {ts} - {ov} END")
     (x, w), (y, h) = side("col", "level_width"), side('"row"', "level_height")
     return (
-        f'{levels_sql(layout, ts, False, where)}, t0 AS (SELECT *, CAST(unnest(range(rows)) AS BIGINT) AS "row" FROM lv), t1 AS (SELECT *, CAST(unnest(range(cols)) AS BIGINT) AS col FROM t0), '
+        f'{levels_sql(layout, ts, False, where)}, t0 AS (SELECT *, CAST(unnest(range(rows)) AS BIGINT) AS "row" FROM lv), t1 AS (SELECT *, '
+        f'CAST(unnest(range(cols)) AS BIGINT) AS col FROM t0), '
         f"tl AS (SELECT *, CAST({x} AS BIGINT) AS x, CAST({y} AS BIGINT) AS y, CAST({w} AS BIGINT) AS w, CAST({h} AS BIGINT) AS h FROM t1)"
     )
 
@@ -102,8 +103,7 @@ for _layout, _ts, _ov in (("deep_zoom", 256, 0), ("deep_zoom", 254, 1), ("xyz",
 
 
 @query(
-    "WITH " + ", ".join([])
-    + "d AS (SELECT * FROM (VALUES ('deep_zoom'), ('xyz'), ('google')) v(layout)), "
+    "WITH d AS (SELECT * FROM (VALUES ('deep_zoom'), ('xyz'), ('google')) v(layout)), "
     + levels_sql("xyz", 256)
     + """, t AS (SELECT image_id, level, c.col, r."row" FROM (SELECT image_id, level, CAST(unnest(range(cols)) AS BIGINT) AS col FROM lv) c JOIN (SELECT image_id, level, CAST(unnest(range(rows)) AS BIGINT) AS "row" FROM lv) r USING (image_id, level))
     SELECT image_id, level, col, "row", layout, CASE layout WHEN 'deep_zoom' THEN level || '/' || col || '_' || "row" WHEN 'xyz' THEN level || '/' || col || '/' || "row" ELSE level || '/' || "row" || '/' || col END || '.png' AS path FROM t, d"""
@@ -127,14 +127,19 @@ def plan_tile_totals(spark, sf):
     return planner.totals(planner.levels(planner.plan(images(spark, sf))))
 
 
-@query("SELECT p_partkey AS image_id, CAST(p_size AS BIGINT) - 3 AS width, CAST(p_partkey % 300 AS BIGINT) AS overlap, (CAST(p_size AS BIGINT) - 3 > 0 AND p_partkey % 300 < 256) AS valid FROM part")
+@query(
+    "SELECT p_partkey AS image_id, CAST(p_size AS BIGINT) - 3 AS width, CAST(p_partkey % 300 AS BIGINT) AS overlap, (CAST(p_size AS BIGINT) - 3 > 0 "
+    "AND p_partkey % 300 < 256) AS valid FROM part"
+)
 def plan_validation(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_size").cast("long") - 3).alias("width"), F.lit(10).cast("long").alias("height"), F.lit(256).cast("long").alias("tile_size"), (F.col("p_partkey") % 300).alias("overlap"))
     return p.select("image_id", "width", "overlap", planner.is_valid().alias("valid"))
 
 
 @query(
-    f"WITH {plan_sql('google', 256, True)} SELECT image_id, canvas_width, canvas_height, offset_x, offset_y, CASE WHEN canvas_width = width AND canvas_height = height THEN width * height * 8 ELSE width * height * 4 + canvas_width * canvas_height * 4 END AS peak, canvas_width * canvas_height * 3 + canvas_width * canvas_height * 3 // 4 AS peak_rgb8 FROM pl"
+    f"WITH {plan_sql('google', 256, True)} SELECT image_id, canvas_width, canvas_height, offset_x, offset_y, CASE WHEN canvas_width = width "
+    f"AND canvas_height = height THEN width * height * 8 ELSE width * height * 4 + canvas_width * canvas_height * 4 END AS peak, "
+    f"canvas_width * canvas_height * 3 + canvas_width * canvas_height * 3 // 4 AS peak_rgb8 FROM pl"
 )
 def plan_memory_estimates(spark, sf):
     return planner.plan(images(spark, sf, "google", centre=True)).select("image_id", "canvas_width", "canvas_height", "offset_x", "offset_y", planner.peak_memory().alias("peak"), planner.peak_memory_for(F.lit("rgb8")).alias("peak_rgb8"))
@@ -147,8 +152,10 @@ def strip_sql(h: str, bpp: int) -> str:
 
 
 @query(
-    f"WITH {plan_sql('deep_zoom', 64, False)}, c AS (SELECT image_id, canvas_height, {strip_sql('128', 4)} AS s FROM pl), u AS (SELECT *, s + s // 10 AS unit_bytes FROM c), "
-    "v AS (SELECT *, least(1500000 // unit_bytes * 128, canvas_height) // 128 * 128 AS tall FROM u) SELECT image_id, unit_bytes, CASE WHEN tall > 0 THEN tall END AS strip_height FROM v"
+    f"WITH {plan_sql('deep_zoom', 64, False)}, c AS (SELECT image_id, canvas_height, {strip_sql('128', 4)} AS s FROM pl), u AS (SELECT *, "
+    f"s + s // 10 AS unit_bytes FROM c), "
+    "v AS (SELECT *, least(1500000 // unit_bytes * 128, canvas_height) // 128 * 128 AS tall FROM u) SELECT image_id, unit_bytes, CASE "
+    "WHEN tall > 0 THEN tall END AS strip_height FROM v"
 )
 def strip_heights(spark, sf):
     p = planner.plan(images(spark, sf, tile_size=64))
@@ -156,10 +163,14 @@ def strip_heights(spark, sf):
 
 
 @query(
-    f"WITH {levels_sql('deep_zoom', 64)}, m AS (SELECT image_id, coalesce(max(CASE WHEN level_width * level_height * 4 <= canvas_width * 128 * 4 THEN level END), 0) AS threshold, "
-    "coalesce(max(CASE WHEN level_width * level_height * 4 <= canvas_width * 128 * 4 THEN level_width * level_height * 4 END), 0) AS mono, max(canvas_width * 128 * 4) AS strip_bytes, max(canvas_width) AS cw, max(level) AS top FROM lv GROUP BY image_id), "
-    f"f AS (SELECT *, CAST(coalesce((SELECT sum({half('cw', 'k')} * (({half('128', 'k')} + 1) // 2) * 4) FROM (SELECT unnest(range(top - threshold)) AS k)), 0) AS BIGINT) + mono AS fixed_bytes FROM m), "
-    "g AS (SELECT *, greatest(1, greatest(0, 4000000 - fixed_bytes) // strip_bytes) AS strips FROM f) SELECT image_id, threshold, strip_bytes, fixed_bytes, strips, strips * strip_bytes + fixed_bytes + (strips * strip_bytes + fixed_bytes) // 10 AS peak FROM g"
+    f"WITH {levels_sql('deep_zoom', 64)}, m AS (SELECT image_id, coalesce(max(CASE WHEN level_width * level_height * 4 <= canvas_width * 128 * 4 THEN level "
+    f"END), 0) AS threshold, "
+    "coalesce(max(CASE WHEN level_width * level_height * 4 <= canvas_width * 128 * 4 THEN level_width * level_height * 4 END), 0) AS mono, "
+    "max(canvas_width * 128 * 4) AS strip_bytes, max(canvas_width) AS cw, max(level) AS top FROM lv GROUP BY image_id), "
+    f"f AS (SELECT *, CAST(coalesce((SELECT sum({half('cw', 'k')} * (({half('128', 'k')} + 1) // 2) * 4) FROM (SELECT unnest(range(top - threshold)) AS k)), "
+    f"0) AS BIGINT) + mono AS fixed_bytes FROM m), "
+    "g AS (SELECT *, greatest(1, greatest(0, 4000000 - fixed_bytes) // strip_bytes) AS strips FROM f) SELECT image_id, threshold, strip_bytes, fixed_bytes, "
+    "strips, strips * strip_bytes + fixed_bytes + (strips * strip_bytes + fixed_bytes) // 10 AS peak FROM g"
 )
 def inflight_strips(spark, sf):
     m = planner.monolithic_level(planner.levels(planner.plan(images(spark, sf, tile_size=64))), "rgba8", F.lit(128)).withColumn("strips", planner.inflight_strips(F.lit(4_000_000)))
@@ -167,7 +178,9 @@ def inflight_strips(spark, sf):
 
 
 @query(
-    "SELECT * FROM (VALUES ('gray8', 1, 1, 1, false, 'rgba8', 'gray8'), ('gray16', 1, 2, 2, false, 'rgba16', 'gray16'), ('rgb8', 3, 1, 3, false, 'rgba8', 'rgb8'), ('rgba8', 4, 1, 4, true, 'rgba8', 'rgb8'), ('rgb16', 3, 2, 6, false, 'rgba16', 'rgb16'), ('rgba16', 4, 2, 8, true, 'rgba16', 'rgb16')) v(format, channels, bytes_per_channel, bytes_per_pixel, has_alpha, with_alpha, without_alpha)"
+    "SELECT * FROM (VALUES ('gray8', 1, 1, 1, false, 'rgba8', 'gray8'), ('gray16', 1, 2, 2, false, 'rgba16', 'gray16'), ('rgb8', 3, 1, 3, false, 'rgba8', "
+    "'rgb8'), ('rgba8', 4, 1, 4, true, 'rgba8', 'rgb8'), ('rgb16', 3, 2, 6, false, 'rgba16', 'rgb16'), ('rgba16', 4, 2, 8, true, 'rgba16', "
+    "'rgb16')) v(format, channels, bytes_per_channel, bytes_per_pixel, has_alpha, with_alpha, without_alpha)"
 )
 def pixel_formats(spark, sf):
     f = F.col("format")
@@ -177,7 +190,10 @@ def pixel_formats(spark, sf):
 
 # -- resampling -----------------------------------------------------------------------------------
 
-GRAY = "px AS (SELECT CAST(vec_id AS BIGINT) AS y, CAST(i - 1 AS BIGINT) AS x, CAST(floor((CAST(embedding[i] AS DOUBLE) + 1) * 127.5) AS BIGINT) AS c0 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
+GRAY = (
+    "px AS (SELECT CAST(vec_id AS BIGINT) AS y, CAST(i - 1 AS BIGINT) AS x, CAST(floor((CAST(embedding[i] AS DOUBLE) + 1) * 127.5) AS BIGINT) AS c0 "
+    "FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
+)
 BOX = "CAST((sum({c}) + count(*) // 2) // count(*) AS BIGINT) AS {c}"
 
 
@@ -190,7 +206,10 @@ def halve_gray(spark, sf):
     return resample.halve(gray(spark, sf))
 
 
-RGB = "px AS (SELECT i // 301 AS y, i % 301 AS x, i % 301 * 255 // 301 AS c0, i // 301 * 255 // 211 AS c1, (i % 301 + i // 301) * 255 // 512 AS c2 FROM (SELECT unnest(range(301 * 211)) AS i))"
+RGB = (
+    "px AS (SELECT i // 301 AS y, i % 301 AS x, i % 301 * 255 // 301 AS c0, i // 301 * 255 // 211 AS c1, (i % 301 + i // 301) * 255 // 512 AS c2 "
+    "FROM (SELECT unnest(range(301 * 211)) AS i))"
+)
 
 
 @query(f"WITH {RGB} SELECT y // 2 AS y, x // 2 AS x, {BOX.format(c='c0')}, {BOX.format(c='c1')}, {BOX.format(c='c2')} FROM px GROUP BY 1, 2")
@@ -199,7 +218,9 @@ def halve_rgb(spark, sf):
 
 
 @query(
-    f"WITH {RGB}, q AS (SELECT *, (x * 7 + y * 13) % 256 * (CASE WHEN (x // 4 + y // 4) % 5 = 0 THEN 0 ELSE 1 END) AS a FROM px), s AS (SELECT y // 2 AS y, x // 2 AS x, count(*) AS n, CAST(sum(a) AS DOUBLE) AS sa, CAST(sum(a * c0) AS DOUBLE) AS s0, CAST(sum(a * c1) AS DOUBLE) AS s1, CAST(sum(a * c2) AS DOUBLE) AS s2 FROM q GROUP BY 1, 2) "
+    f"WITH {RGB}, q AS (SELECT *, (x * 7 + y * 13) % 256 * (CASE WHEN (x // 4 + y // 4) % 5 = 0 THEN 0 ELSE 1 END) AS a FROM px), s AS (SELECT y // 2 AS y, "
+    f"x // 2 AS x, count(*) AS n, CAST(sum(a) AS DOUBLE) AS sa, CAST(sum(a * c0) AS DOUBLE) AS s0, CAST(sum(a * c1) AS DOUBLE) AS s1, "
+    f"CAST(sum(a * c2) AS DOUBLE) AS s2 FROM q GROUP BY 1, 2) "
     "SELECT y, x, " + ", ".join(f"CASE WHEN sa = 0 THEN 0 ELSE CAST(trunc(s{i} / (n * (sa / n))) AS BIGINT) END AS c{i}" for i in range(3)) + ", CAST(trunc(sa / n) AS BIGINT) AS c3 FROM s"
 )
 def halve_alpha(spark, sf):
@@ -241,7 +262,8 @@ def cascade_blocks(spark, sf):
 
 @query(
     "WITH " + GRAY + ", s AS (SELECT *, 64 AS sw, (SELECT count(*) FROM embeddings) AS sh FROM px), d AS (SELECT dx.dx, dy.dy FROM (SELECT unnest(range(20)) AS dx) dx, (SELECT unnest(range(17)) AS dy) dy) "
-    "SELECT d.dy AS y, d.dx AS x, CAST((sum(c0) + count(*) // 2) // count(*) AS BIGINT) AS c0 FROM s JOIN d ON s.x >= d.dx * sw // 20 AND s.x < ((d.dx + 1) * sw + 19) // 20 AND s.y >= d.dy * sh // 17 AND s.y < ((d.dy + 1) * sh + 16) // 17 GROUP BY 1, 2"
+    "SELECT d.dy AS y, d.dx AS x, CAST((sum(c0) + count(*) // 2) // count(*) AS BIGINT) AS c0 FROM s JOIN d ON s.x >= d.dx * sw // 20 "
+    "AND s.x < ((d.dx + 1) * sw + 19) // 20 AND s.y >= d.dy * sh // 17 AND s.y < ((d.dy + 1) * sh + 16) // 17 GROUP BY 1, 2"
 )
 def downscale_to(spark, sf):
     return resample.downscale_to(gray(spark, sf), 64, table(spark, sf, "embeddings").count(), 20, 17)
@@ -256,7 +278,8 @@ def stats_sql(source: str, ts: int, pad: bool, key: str = "", tol: int = 0) -> s
     high = "CASE WHEN n < {a} THEN greatest(mx, 255) ELSE mx END".format(a=area)
     size = f"CAST({ts} AS BIGINT) AS w, CAST({ts} AS BIGINT) AS h" if pad else "w, h"
     return (
-        f'WITH {source}, g AS (SELECT x // {ts} AS col, y // {ts} AS "row", count(*) AS n, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, CAST(sum(c0) AS BIGINT) AS s, min(c0) AS mn, max(c0) AS mx, arg_min(c0, y * 100000 + x) AS first FROM px GROUP BY 1, 2) '
+        f'WITH {source}, g AS (SELECT x // {ts} AS col, y // {ts} AS "row", count(*) AS n, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, '
+        f'CAST(sum(c0) AS BIGINT) AS s, min(c0) AS mn, max(c0) AS mx, arg_min(c0, y * 100000 + x) AS first FROM px GROUP BY 1, 2) '
         f'SELECT col, "row", {size}, {area} - n AS n_pad, s + ({area} - n) * 255 AS sum_c0, ({high}) - first <= {tol} AND first - ({low}) <= {tol} AS blank FROM g'
     )
 
@@ -267,9 +290,11 @@ def extract_tiles_pad(spark, sf):
 
 
 @query(
-    f"WITH {GRAY}, n AS (SELECT count(*) AS hh FROM embeddings), t AS (SELECT col, \"row\", CASE WHEN col = 0 THEN 0 ELSE col * 24 - 3 END AS x0, least((col + 1) * 24 + 3, 64) AS x1, CASE WHEN \"row\" = 0 THEN 0 ELSE \"row\" * 24 - 3 END AS y0, least((\"row\" + 1) * 24 + 3, hh) AS y1 "
+    f"WITH {GRAY}, n AS (SELECT count(*) AS hh FROM embeddings), t AS (SELECT col, \"row\", CASE WHEN col = 0 THEN 0 ELSE col * 24 - 3 END AS x0, "
+    f"least((col + 1) * 24 + 3, 64) AS x1, CASE WHEN \"row\" = 0 THEN 0 ELSE \"row\" * 24 - 3 END AS y0, least((\"row\" + 1) * 24 + 3, hh) AS y1 "
     'FROM (SELECT unnest(range(3)) AS col) a, (SELECT hh, unnest(range((hh + 23) // 24)) AS "row" FROM n) b) '
-    'SELECT col, "row", max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, CAST(0 AS BIGINT) AS n_pad, CAST(sum(c0) AS BIGINT) AS sum_c0, min(c0) = max(c0) AS blank FROM t JOIN px ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1, 2'
+    'SELECT col, "row", max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, CAST(0 AS BIGINT) AS n_pad, CAST(sum(c0) AS BIGINT) AS sum_c0, '
+    'min(c0) = max(c0) AS blank FROM t JOIN px ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1, 2'
 )
 def extract_tiles_overlap(spark, sf):
     return cut.tile_stats(gray(spark, sf), 64, table(spark, sf, "embeddings").count(), 24, overlap=3)
@@ -280,7 +305,11 @@ def extract_tiles_google(spark, sf):
     return cut.tile_stats(gray(spark, sf), 64, 1, 40, overlap=2, google=True)
 
 
-CANVAS = f"{GRAY.replace('px AS', 'src AS')}, n AS (SELECT (count(*) + 47) // 48 * 48 AS ch, ((count(*) + 47) // 48 * 48 - count(*)) // 2 AS oy FROM embeddings), grid AS (SELECT y, x, oy FROM (SELECT oy, unnest(range(ch)) AS y FROM n) a, (SELECT unnest(range(96)) AS x) b), px AS (SELECT g.y, g.x, coalesce(c0, 255) AS c0 FROM grid g LEFT JOIN src s ON s.y + g.oy = g.y AND s.x + 16 = g.x)"
+CANVAS = (
+    f"{GRAY.replace('px AS', 'src AS')}, n AS (SELECT (count(*) + 47) // 48 * 48 AS ch, ((count(*) + 47) // 48 * 48 - count(*)) // 2 AS oy FROM embeddings), "
+    f"grid AS (SELECT y, x, oy FROM (SELECT oy, unnest(range(ch)) AS y FROM n) a, (SELECT unnest(range(96)) AS x) b), px AS (SELECT g.y, g.x, coalesce(c0, "
+    f"255) AS c0 FROM grid g LEFT JOIN src s ON s.y + g.oy = g.y AND s.x + 16 = g.x)"
+)
 
 
 @query(stats_sql(CANVAS, 48, True))
@@ -290,7 +319,11 @@ def centre_embed(spark, sf):
     return cut.tile_stats(cut.embed(gray(spark, sf), 16, (high - n) // 2, 96, high, (255,)), 96, high, 48)
 
 
-DENSITY = "px AS (SELECT g.y, g.x, coalesce(c, 0) AS c0 FROM (SELECT i // 256 AS y, i % 256 AS x FROM (SELECT unnest(range(256 * 128)) AS i)) g LEFT JOIN (SELECT l_suppkey % 128 AS y, l_partkey % 256 AS x, CAST(least(count(*), 255) AS BIGINT) AS c FROM lineitem GROUP BY 1, 2) d ON d.y = g.y AND d.x = g.x)"
+DENSITY = (
+    "px AS (SELECT g.y, g.x, coalesce(c, 0) AS c0 FROM (SELECT i // 256 AS y, i % 256 AS x FROM (SELECT unnest(range(256 * 128)) AS i)) g LEFT "
+    "JOIN (SELECT l_suppkey % 128 AS y, l_partkey % 256 AS x, CAST(least(count(*), 255) AS BIGINT) AS c FROM lineitem GROUP BY 1, 2) d ON d.y = g.y "
+    "AND d.x = g.x)"
+)
 
 
 def density(spark, sf) -> DataFrame:
@@ -307,7 +340,11 @@ def blank_tolerance(spark, sf):
     return cut.tile_stats(density(spark, sf), 256, 128, 16, tolerance=3)
 
 
-@query(f"WITH b AS ({stats_sql(DENSITY, 16, True)}) SELECT 'density' AS image_id, CAST(4 AS BIGINT) AS level, CAST(count(*) - count(*) FILTER (blank) AS BIGINT) AS tiles_produced, CAST(count(*) FILTER (blank) + 128 - count(*) AS BIGINT) AS tiles_skipped FROM b WHERE \"row\" < 7")
+@query(
+    f"WITH b AS ({stats_sql(DENSITY, 16, True)}) SELECT 'density' AS image_id, CAST(4 AS BIGINT) AS level, "
+    f"CAST(count(*) - count(*) FILTER (blank) AS BIGINT) AS tiles_produced, CAST(count(*) FILTER (blank) + 128 - count(*) AS BIGINT) AS tiles_skipped FROM b "
+    f"WHERE \"row\" < 7"
+)
 def level_counts_manifest(spark, sf):
     t = cut.tile_stats(density(spark, sf), 256, 128, 16).where("row < 7").withColumns({"image_id": F.lit("density"), "level": F.lit(4).cast("long")})
     planned = spark.range(1).select(F.lit("density").alias("image_id"), F.lit(4).cast("long").alias("level"), F.lit(16).cast("long").alias("cols"), F.lit(8).cast("long").alias("rows"))
@@ -324,7 +361,10 @@ def region_rows(spark, sf):
     return cut.rows_of(cut.region(gray(spark, sf), 5, 10, 32, 20, 64, 200)).select("y", F.array_join(F.transform("line", lambda v: v.cast("string")), ",").alias("line"))
 
 
-@query("SELECT format, b FROM (VALUES ('gray8', '10'), ('gray16', '2570'), ('rgb8', '10,20,30'), ('rgba8', '10,20,30,255'), ('rgb16', '2570,2570,2570'), ('rgba16', '2570,2570,2570,2570')) v(format, b)")
+@query(
+    "SELECT format, b FROM (VALUES ('gray8', '10'), ('gray16', '2570'), ('rgb8', '10,20,30'), ('rgba8', '10,20,30,255'), ('rgb16', '2570,2570,2570'), "
+    "('rgba16', '2570,2570,2570,2570')) v(format, b)"
+)
 def background_pixels(spark, sf):
     return spark.createDataFrame([(n, ",".join(map(str, cut.background(n, (10, 20, 30))))) for n, *_ in tm.PIXEL_FORMATS], "format string, b string")
 
@@ -338,7 +378,10 @@ def blobs(spark, sf) -> DataFrame:
     return docs.unionByName(pages).select("path", F.sha2(F.coalesce("body", F.lit("")), 256).alias("digest"), F.coalesce(F.octet_length("body"), F.lit(0)).cast("long").alias("bytes"))
 
 
-BLOBS = "blobs AS (SELECT path, sha256(coalesce(body, '')) AS digest, CAST(coalesce(strlen(body), 0) AS BIGINT) AS bytes FROM (SELECT 'doc/' || doc_id || '.txt' AS path, text AS body FROM documents UNION ALL SELECT 'page/' || page_id || '.html', html FROM pages))"
+BLOBS = (
+    "blobs AS (SELECT path, sha256(coalesce(body, '')) AS digest, CAST(coalesce(strlen(body), 0) AS BIGINT) AS bytes FROM (SELECT 'doc/' || doc_id "
+    "|| '.txt' AS path, text AS body FROM documents UNION ALL SELECT 'page/' || page_id || '.html', html FROM pages))"
+)
 
 
 @query(f"WITH {BLOBS} SELECT path, digest, bytes FROM blobs")
@@ -346,7 +389,12 @@ def tile_sha256(spark, sf):
     return blobs(spark, sf)
 
 
-FILES = "m AS (SELECT path, CASE WHEN bytes % 7 = 0 THEN upper(digest) ELSE digest END AS digest FROM blobs), f AS (SELECT path, CASE WHEN bytes % 5 = 0 THEN sha256(digest) ELSE digest END AS digest FROM blobs WHERE bytes % 11 <> 0), s AS (SELECT m.path, CASE WHEN f.path IS NULL THEN 'missing' WHEN lower(m.digest) = lower(f.digest) THEN 'ok' ELSE 'mismatched' END AS status FROM m LEFT JOIN f ON m.path = f.path)"
+FILES = (
+    "m AS (SELECT path, CASE WHEN bytes % 7 = 0 THEN upper(digest) ELSE digest END AS digest FROM blobs), f AS (SELECT path, CASE "
+    "WHEN bytes % 5 = 0 THEN sha256(digest) ELSE digest END AS digest FROM blobs WHERE bytes % 11 <> 0), s AS (SELECT m.path, CASE "
+    "WHEN f.path IS NULL THEN 'missing' WHEN lower(m.digest) = lower(f.digest) THEN 'ok' ELSE 'mismatched' END AS status FROM m LEFT "
+    "JOIN f ON m.path = f.path)"
+)
 
 
 def _statuses(spark, sf) -> DataFrame:
@@ -361,7 +409,10 @@ def verify_statuses(spark, sf):
     return _statuses(spark, sf)
 
 
-@query(f"WITH {BLOBS}, {FILES} SELECT count(*) AS tiles_checked, count(*) FILTER (status = 'ok') AS tiles_ok, count(*) FILTER (status = 'mismatched') AS tiles_mismatched, count(*) FILTER (status = 'missing') AS tiles_missing FROM s")
+@query(
+    f"WITH {BLOBS}, {FILES} SELECT count(*) AS tiles_checked, count(*) FILTER (status = 'ok') AS tiles_ok, "
+    f"count(*) FILTER (status = 'mismatched') AS tiles_mismatched, count(*) FILTER (status = 'missing') AS tiles_missing FROM s"
+)
 def verify_report(spark, sf):
     return contents.verify_report(_statuses(spark, sf))
 
@@ -423,17 +474,29 @@ def geo_forward(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.round(g["x"], 6).alias("gx"), F.round(g["y"], 6).alias("gy"))
 
 
-@query("WITH d AS (SELECT s_suppkey, s_acctbal - 1000 AS dx, s_nationkey - 5000.0 AS dy FROM supplier) SELECT s_suppkey, round((-0.5 * dx + 0.25 * dy) / -0.21875, 6) AS px, round((-0.125 * dx + 0.5 * dy) / -0.21875, 6) AS py, round(-0.5 / -0.21875, 9) AS inv_a FROM d")
+@query(
+    "WITH d AS (SELECT s_suppkey, s_acctbal - 1000 AS dx, s_nationkey - 5000.0 AS dy FROM supplier) SELECT s_suppkey, "
+    "round((-0.5 * dx + 0.25 * dy) / -0.21875, 6) AS px, round((-0.125 * dx + 0.5 * dy) / -0.21875, 6) AS py, round(-0.5 / -0.21875, 9) AS inv_a FROM d"
+)
 def geo_inverse(spark, sf):
     t = geo.transform(*AFFINE)
     p = geo.geo_to_pixel(t, F.col("s_acctbal"), F.col("s_nationkey").cast("double"))
     return table(spark, sf, "supplier").select("s_suppkey", F.round(p["x"], 6).alias("px"), F.round(p["y"], 6).alias("py"), F.round(geo.inverse(t)["a"], 9).alias("inv_a"))
 
 
-BOUNDS = "b AS (SELECT image_id, least(1000, 1000 + 0.5 * width, 1000 - 0.25 * height, 1000 + 0.5 * width - 0.25 * height) AS min_x, greatest(1000, 1000 + 0.5 * width, 1000 - 0.25 * height, 1000 + 0.5 * width - 0.25 * height) AS max_x, least(5000, 5000 + 0.125 * width, 5000 - 0.5 * height, 5000 + 0.125 * width - 0.5 * height) AS min_y, greatest(5000, 5000 + 0.125 * width, 5000 - 0.5 * height, 5000 + 0.125 * width - 0.5 * height) AS max_y FROM img)"
+BOUNDS = (
+    "b AS (SELECT image_id, least(1000, 1000 + 0.5 * width, 1000 - 0.25 * height, 1000 + 0.5 * width - 0.25 * height) AS min_x, greatest(1000, "
+    "1000 + 0.5 * width, 1000 - 0.25 * height, 1000 + 0.5 * width - 0.25 * height) AS max_x, least(5000, 5000 + 0.125 * width, 5000 - 0.5 * height, "
+    "5000 + 0.125 * width - 0.5 * height) AS min_y, greatest(5000, 5000 + 0.125 * width, 5000 - 0.5 * height, 5000 + 0.125 * width - 0.5 * height) AS max_y "
+    "FROM img)"
+)
 
 
-@query(f"WITH {img_sql()}, {BOUNDS} SELECT image_id, CAST(min_x AS DOUBLE) AS min_x, CAST(min_y AS DOUBLE) AS min_y, CAST(max_x AS DOUBLE) AS max_x, CAST(max_y AS DOUBLE) AS max_y, CAST(max_x - min_x AS DOUBLE) AS width, CAST(max_y - min_y AS DOUBLE) AS height, CAST((min_x + max_x) / 2 AS DOUBLE) AS centre_x, CAST((min_y + max_y) / 2 AS DOUBLE) AS centre_y FROM b")
+@query(
+    f"WITH {img_sql()}, {BOUNDS} SELECT image_id, CAST(min_x AS DOUBLE) AS min_x, CAST(min_y AS DOUBLE) AS min_y, CAST(max_x AS DOUBLE) AS max_x, "
+    f"CAST(max_y AS DOUBLE) AS max_y, CAST(max_x - min_x AS DOUBLE) AS width, CAST(max_y - min_y AS DOUBLE) AS height, "
+    f"CAST((min_x + max_x) / 2 AS DOUBLE) AS centre_x, CAST((min_y + max_y) / 2 AS DOUBLE) AS centre_y FROM b"
+)
 def geo_bounds(spark, sf):
     b = images(spark, sf).select("image_id", geo.image_bounds(geo.transform(*AFFINE), F.col("width").cast("double"), F.col("height").cast("double")).alias("b"))
     return b.select("image_id", "b.*", geo.extent(F.col("b")).alias("e")).select("image_id", "min_x", "min_y", "max_x", "max_y", "e.*")
@@ -445,7 +508,10 @@ def geo_contains(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", geo.contains(box, F.col("c_acctbal"), F.col("c_nationkey").cast("double")).alias("inside"))
 
 
-@query("SELECT s_suppkey, 1.5 AS a, 0.25 AS b, CAST(s_suppkey AS DOUBLE) AS c, -0.5 AS d, 2.0 AS e, CAST(s_nationkey AS DOUBLE) AS f FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, NULL, NULL, NULL, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 3 = 0")
+@query(
+    "SELECT s_suppkey, 1.5 AS a, 0.25 AS b, CAST(s_suppkey AS DOUBLE) AS c, -0.5 AS d, 2.0 AS e, CAST(s_nationkey AS DOUBLE) AS f FROM supplier "
+    "WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, NULL, NULL, NULL, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 3 = 0"
+)
 def geo_control_points(spark, sf):
     """Transforms found again from three points; every third supplier's are collinear and have none."""
     x, y = F.col("s_suppkey").cast("double"), F.col("s_nationkey").cast("double")
@@ -455,7 +521,10 @@ def geo_control_points(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", geo.from_control_points(px, gs).alias("t")).select("s_suppkey", *(F.round(F.col("t")[n], 9).alias(n) for n in geo.NAMES))
 
 
-@query("SELECT c_custkey, (c_nationkey + 0.5) * 256 * 0.5 - (c_custkey % 9 + 0.5) * 256 * 0.25 + 1000 AS gx, (c_nationkey + 0.5) * 256 * 0.125 - (c_custkey % 9 + 0.5) * 256 * 0.5 + 5000 AS gy FROM customer")
+@query(
+    "SELECT c_custkey, (c_nationkey + 0.5) * 256 * 0.5 - (c_custkey % 9 + 0.5) * 256 * 0.25 + 1000 AS gx, "
+    "(c_nationkey + 0.5) * 256 * 0.125 - (c_custkey % 9 + 0.5) * 256 * 0.5 + 5000 AS gy FROM customer"
+)
 def geo_tile_centre(spark, sf):
     g = geo.tile_centre(geo.transform(*AFFINE), F.col("c_nationkey"), F.col("c_custkey") % 9, F.lit(256))
     return table(spark, sf, "customer").select("c_custkey", g["x"].alias("gx"), g["y"].alias("gy"))
@@ -475,19 +544,30 @@ def object_keys(spark, sf):
     return p.select("image_id", "level", "col", "row", "layout", tm.object_key(F.lit("/maps/site/"), F.lit("img"), F.col("layout"), F.col("path")).alias("key"))
 
 
-@query("SELECT p_partkey, name, CASE WHEN name LIKE '%.tar.gz' THEN left(name, length(name) - 7) WHEN name LIKE '%.tgz' OR name LIKE '%.tar' OR name LIKE '%.zip' THEN left(name, length(name) - 4) ELSE name END AS stem FROM (SELECT p_partkey, 'plan' || p_partkey || list_extract(['.tar', '.tar.gz', '.tgz', '.zip', ''], CAST(p_partkey % 5 + 1 AS INTEGER)) AS name FROM part)")
+@query(
+    "SELECT p_partkey, name, CASE WHEN name LIKE '%.tar.gz' THEN left(name, length(name) - 7) "
+    "WHEN name LIKE '%.tgz' OR name LIKE '%.tar' OR name LIKE '%.zip' THEN left(name, length(name) - 4) ELSE name END AS stem FROM (SELECT p_partkey, "
+    "'plan' || p_partkey || list_extract(['.tar', '.tar.gz', '.tgz', '.zip', ''], CAST(p_partkey % 5 + 1 AS INTEGER)) AS name FROM part)"
+)
 def packfile_stems(spark, sf):
     name = F.concat(F.lit("plan"), F.col("p_partkey").cast("string"), F.element_at(F.array(*map(F.lit, (".tar", ".tar.gz", ".tgz", ".zip", ""))), (F.col("p_partkey") % 5 + 1).cast("int")))
     return table(spark, sf, "part").select("p_partkey", name.alias("name")).withColumn("stem", tm.archive_stem(F.concat(F.lit("out/"), F.col("name"))))
 
 
-@query("SELECT p_partkey, (p_size % 4) * 90 - 720 AS rotate, (p_size % 4) * 90 AS degrees, CAST(trunc(CAST((100 + p_size) * 3 AS FLOAT) * CAST(2 AS FLOAT)) AS BIGINT) AS pixels FROM part")
+@query(
+    "SELECT p_partkey, (p_size % 4) * 90 - 720 AS rotate, (p_size % 4) * 90 AS degrees, "
+    "CAST(trunc(CAST((100 + p_size) * 3 AS FLOAT) * CAST(2 AS FLOAT)) AS BIGINT) AS pixels FROM part"
+)
 def page_geometry(spark, sf):
     r = (F.col("p_size") % 4) * 90 - 720
     return table(spark, sf, "part").select("p_partkey", r.alias("rotate"), tm.page_rotation(r).alias("degrees"), tm.rendered_size((100 + F.col("p_size")) * 3, F.lit(144)).alias("pixels"))
 
 
-@query("WITH w AS (SELECT p_partkey, 100.0 + p_size * 40 AS pw, 200.0 + p_size * 20 AS ph FROM part) SELECT p_partkey, CASE WHEN big THEN greatest(1, CAST(floor(sqrt(1000000 / (pw * ph)) * 72) AS BIGINT)) ELSE 300 END AS dpi, big AS capped FROM (SELECT *, trunc(pw * 300 / 72.0) * trunc(ph * 300 / 72.0) > 1000000 AS big FROM w)")
+@query(
+    "WITH w AS (SELECT p_partkey, 100.0 + p_size * 40 AS pw, 200.0 + p_size * 20 AS ph FROM part) SELECT p_partkey, CASE WHEN big THEN greatest(1, "
+    "CAST(floor(sqrt(1000000 / (pw * ph)) * 72) AS BIGINT)) ELSE 300 END AS dpi, big AS capped FROM (SELECT *, "
+    "trunc(pw * 300 / 72.0) * trunc(ph * 300 / 72.0) > 1000000 AS big FROM w)"
+)
 def page_dpi_budget(spark, sf):
     w, h = 100.0 + F.col("p_size") * 40, 200.0 + F.col("p_size") * 20
     return table(spark, sf, "part").select("p_partkey", tm.budgeted_dpi(w, h, F.lit(300), F.lit(1_000_000)).alias("d")).select("p_partkey", "d.*")
@@ -529,19 +609,29 @@ def cmyk(spark, sf):
 # -- runs -----------------------------------------------------------------------------------------
 
 
-@query("WITH e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) * CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS amount FROM events WHERE value IS NOT NULL), r AS (SELECT user_id, amount, sum(amount) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS held FROM e) SELECT user_id, CAST(max(held) AS BIGINT) AS peak, CAST(sum(amount) AS BIGINT) AS held, count(*) AS events FROM r GROUP BY user_id")
+@query(
+    "WITH e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) * CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS amount FROM events "
+    "WHERE value IS NOT NULL), r AS (SELECT user_id, amount, sum(amount) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS held "
+    "FROM e) SELECT user_id, CAST(max(held) AS BIGINT) AS peak, CAST(sum(amount) AS BIGINT) AS held, count(*) AS events FROM r GROUP BY user_id"
+)
 def event_peaks(spark, sf):
     amount = F.floor("value").cast("long") * F.when(F.col("event_id") % 3 == 0, -1).otherwise(1)
     return contents.running_peak(table(spark, sf, "events").where("value is not null").withColumn("amount", amount), "user_id", ["event_id"], "amount")
 
 
-@query("SELECT event_type AS kind, count(*) AS n, min(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS first_at, max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS last_at FROM events GROUP BY 1")
+@query(
+    "SELECT event_type AS kind, count(*) AS n, min(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS first_at, max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS last_at "
+    "FROM events GROUP BY 1"
+)
 def event_progress(spark, sf):
     at = manifest.timestamp(F.col("ts"))
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
 
 
-@query("WITH m AS (SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '2' ELSE '1' END AS v, CAST(p_size AS BIGINT) AS s FROM part) SELECT p_partkey, CASE WHEN v = '1' THEN s END AS tile_size, CASE WHEN v = '1' THEN 'xyz' END AS layout, CASE WHEN v = '1' THEN s * 2 END AS tiles FROM m")
+@query(
+    "WITH m AS (SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '2' ELSE '1' END AS v, CAST(p_size AS BIGINT) AS s FROM part) SELECT p_partkey, CASE "
+    "WHEN v = '1' THEN s END AS tile_size, CASE WHEN v = '1' THEN 'xyz' END AS layout, CASE WHEN v = '1' THEN s * 2 END AS tiles FROM m"
+)
 def manifest_json(spark, sf):
     """Manifest documents written as JSON and read back; unknown versions come back empty."""
     s = F.col("p_size").cast("long")
@@ -577,7 +667,9 @@ def _le32(x: str) -> str:
 
 _HEAD = [_le32(x) for x in ("width", "height", "256", "1")] + ["'03'"] + [_le32("canvas_width"), _le32("canvas_height"), "'01'", _le32("offset_x"), _le32("offset_y")]
 PLAN_IDENTITY = (
-    f"WITH {levels_sql('google', 256, True)}, l AS (SELECT image_id, string_agg({' || '.join(_le32(x) for x in ('level', 'level_width', 'level_height', 'cols', 'rows'))}, '' ORDER BY level) AS body, count(*) AS n FROM lv GROUP BY image_id) "
+    f"WITH {levels_sql('google', 256, True)}, l AS (SELECT image_id, "
+    f"string_agg({' || '.join(_le32(x) for x in ('level', 'level_width', 'level_height', 'cols', 'rows'))}, '' ORDER BY level) AS body, count(*) AS n "
+    f"FROM lv GROUP BY image_id) "
     f"SELECT image_id, sha256(unhex(hex('tilewright plan 1') || {' || '.join(_HEAD)} || {_le32('n')} || '00000000' || body)) AS sha256 FROM pl JOIN l USING (image_id)"
 )
 
@@ -632,7 +724,8 @@ def pyramid_tiles(spark, sf):
 
 
 @query(
-    "WITH w AS (SELECT l_suppkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS pixels FROM lineitem GROUP BY 1) SELECT l_suppkey, n, pixels, row_number() OVER (ORDER BY pixels DESC, l_suppkey) AS rank FROM w QUALIFY rank <= 10"
+    "WITH w AS (SELECT l_suppkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS pixels FROM lineitem GROUP BY 1) SELECT l_suppkey, n, pixels, "
+    "row_number() OVER (ORDER BY pixels DESC, l_suppkey) AS rank FROM w QUALIFY rank <= 10"
 )
 def largest_images(spark, sf):
     """The largest of a group, first on ties: the ten suppliers with the most."""

@@ -210,8 +210,10 @@ def job_sql(overlap: int, tile: int = 16) -> str:
     k.append("s AS (SELECT level, max(x) + 1 AS lw, max(y) + 1 AS lh FROM u GROUP BY level)")
     k.append(f'r AS (SELECT level, lw, lh, CAST(unnest(range((lw + {tile - 1}) // {tile})) AS BIGINT) AS col FROM s), t AS (SELECT level, lw, lh, col, CAST(unnest(range((lh + {tile - 1}) // {tile})) AS BIGINT) AS "row" FROM r)')
     k.append(
-        f'q AS (SELECT t.level, col, "row", max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS n, CAST(sum(c0) AS BIGINT) AS s, min(c0) AS mn, max(c0) AS mx FROM t JOIN u ON u.level = t.level '
-        f'AND x >= col * {tile} - {overlap} AND x < (col + 1) * {tile} + {overlap} AND y >= "row" * {tile} - {overlap} AND y < ("row" + 1) * {tile} + {overlap} GROUP BY 1, 2, 3)'
+        f'q AS (SELECT t.level, col, "row", max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS n, CAST(sum(c0) AS BIGINT) AS s, min(c0) AS mn, '
+        f'max(c0) AS mx FROM t JOIN u ON u.level = t.level '
+        f'AND x >= col * {tile} - {overlap} AND x < (col + 1) * {tile} + {overlap} AND y >= "row" * {tile} - {overlap} AND y < ("row" + 1) * {tile} + {overlap} '
+        f'GROUP BY 1, 2, 3)'
     )
     area = tile * tile
     if overlap:
