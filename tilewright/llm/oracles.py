@@ -46,9 +46,9 @@ dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS k FROM (SELE
 hit AS (SELECT doc_id, dw.m, i, j, item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.k = bw.k),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id),
-runs AS (SELECT doc_id, CAST(item_id AS VARCHAR) AS item, min(i) - 1 AS at, count(*) + max(m) - 1 AS n FROM (SELECT doc_id, item_id, m, i, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, item_id, m, i - j ORDER BY i) AS g FROM hit) GROUP BY doc_id, item_id, m, diagonal, g),
-far AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at, item) = 1)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n, 0) AS BIGINT) AS longest_match, CAST(coalesce(at, -1) AS BIGINT) AS longest_match_at, item AS longest_match_item
+runs AS (SELECT doc_id, CAST(item_id AS VARCHAR) AS item, min(i) - 1 AS begin_, count(*) + max(m) - 1 AS n FROM (SELECT doc_id, item_id, m, i, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, item_id, m, i - j ORDER BY i) AS g FROM hit) GROUP BY doc_id, item_id, m, diagonal, g),
+far AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, begin_, item) = 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n, 0) AS BIGINT) AS longest_match, CAST(coalesce(begin_, -1) AS BIGINT) AS longest_match_at, item AS longest_match_item
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN far USING (doc_id)"""
 
 OP5 = f"""
