@@ -41,6 +41,14 @@ def test_plan_hashes_differ(spark):
     assert got.plan_hash.nunique() == len(got) and got.plan_hash.str.fullmatch("[0-9a-f]{64}").all()
 
 
+def test_plan_hashes_are_those_of_jobs(spark):
+    from tilewright.plans.job import PyramidJob
+
+    row = catalog.images(spark, SF, "google", overlap=1, centre=True).orderBy("image_id").first()
+    got = catalog.QUERIES["plan_hashes"](spark, SF).where(f"image_id = {row.image_id}").first()
+    assert got.plan_hash == PyramidJob(row.width, row.height, 256, 1, "google", True).plan_hash(spark)
+
+
 def test_entry():
     import __spark_entry__
 

@@ -16,7 +16,7 @@ from tilewright.functions import geo, hashing
 from tilewright.operators import contents, resample, tiles as cut
 from tilewright.plans import job as job_module, manifest, verification
 from tilewright.plans.job import PyramidJob
-from tilewright.sources import codec, pages, rasters, sinks
+from tilewright.sources import codec, jpeg, pages, rasters, sinks
 
 rng = np.random.default_rng(3)
 
@@ -249,6 +249,16 @@ def test_cmyk_image():
     assert pages.page_image(doc, 1) == (1, 1, "rgb8", b"\x00\xff\xff")
 
 
+def test_jpeg_image_of_a_page():
+    x = np.broadcast_to(np.arange(16, dtype=np.uint8)[:, None, None] * 9, (16, 24, 1))
+    data = jpeg.encode(x, 95)
+    for filters, raw in ((b"/DCTDecode", data), (b"[/FlateDecode /DCTDecode]", zlib.compress(data))):
+        head = b"<< /Subtype /Image /Width 24 /Height 16 /ColorSpace /DeviceGray /Filter " + filters + b" /Length " + str(len(raw)).encode() + b" >>\nstream\n" + raw + b"\nendstream"
+        doc = pdf([b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] >>", b"<< /Type /Page /Resources << /XObject << /A 4 0 R >> >> >>", head])
+        w, h, name, samples = pages.page_image(doc, 1)
+        assert (w, h, name) == (24, 16, "gray8") and np.abs(np.frombuffer(samples, np.uint8).reshape(16, 24, 1).astype(int) - x).max() <= 3
+
+
 def test_manifest():
     text = json.dumps(manifest.build({"tile_size": 1}, {"width": 1}, [], "now") | {"more": 1})
     assert manifest.read(text)["generation"] == {"tile_size": 1}
