@@ -455,6 +455,8 @@ def test_mixed_documents(corpus, odd):
     assert {i: n for i, n in taken.items() if n} == dict(sums)
     assert [r.mix_position for r in got] == sorted(r.mix_position for r in got)
     assert mixing.mixed_documents(odd).columns == [*odd.columns, "mix_copy", "mix_words", "mix_position"]
+    twins = odd.sparkSession.createDataFrame([(1, "a b", None, "s", 1), (1, "a b", "s", None, 1), (2, "c d e f g h", None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.lang, r.source) for r in mixing.mixed_documents(twins).collect() if r.doc_id == 1} == {(None, "s"), ("s", None)}
     named = odd.withColumns({c: F.lit("own") for c in ("__size", "doc", "order", "print", "copy", "part", "total", "a.b", "MIX_COPY")}).withColumn("m", F.create_map(F.lit("a"), F.lit("b")))
     out = mixing.mixed_documents(named)
     assert out.columns == [*[c for c in named.columns if c != "MIX_COPY"], "mix_copy", "mix_words", "mix_position"]

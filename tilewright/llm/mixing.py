@@ -39,8 +39,10 @@ def n_words(text: Column) -> Column:
 
 
 def _hash(docs: DataFrame) -> Column:
-    """Of all columns, however typed."""
-    return F.xxhash64(*(F.to_json(F.struct(F.col(f"`{f.name}`"))) if any(x in f.dataType.simpleString() for x in ("map<", "variant")) else F.col(f"`{f.name}`") for f in docs.schema.fields))
+    """Of all columns, however typed, and of which of them are null."""
+    mapped = lambda f: any(x in f.dataType.simpleString() for x in ("map<", "variant"))
+    own = [(F.col(f"`{f.name}`"), mapped(f)) for f in docs.schema.fields]
+    return F.xxhash64(*(F.to_json(F.struct(c)) if m else c for c, m in own), *(c.isNull() for c, _ in own))
 
 
 def _thin(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
