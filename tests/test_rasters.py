@@ -423,6 +423,32 @@ def test_events_and_builder(spark, tmp_path):
         job.with_config(colour="red")
 
 
+class Store:
+    """An object store in a folder, that fails on its first write of a key that ends with _1.raw."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, path, data):
+        key = os.path.join(self.folder, path.replace("/", "+"))
+        if path.endswith("_1.raw") and not os.path.exists(key + ".once"):
+            open(key + ".once", "w").close()
+            raise OSError("busy")
+        with open(key, "wb") as f:
+            f.write(data)
+
+
+def test_a_sink_of_the_users(spark, tmp_path):
+    x = rng.integers(0, 256, (40, 40, 1)).astype(np.uint8)
+    job = PyramidJob(40, 40, 16, pixel_format="gray8").with_format("raw").with_retry(2, 1.0).with_sink(Store(str(tmp_path)))
+    result = job.run(blocks(spark, x, "gray8", 16), str(tmp_path / "img"))
+    keys = [n for n in os.listdir(tmp_path) if n.endswith(".raw")]
+    assert len(keys) == result["tiles_produced"] == sum(r.cols * r.rows for r in job.levels(spark)) and result["retry_count"] > 0
+    assert open(tmp_path / "6+0_0.raw", "rb").read() == x[:16, :16].tobytes() and not os.path.exists(tmp_path / "img/6") and os.path.exists(tmp_path / "img/manifest.json")
+    with pytest.raises(ValueError, match="need files"):
+        job.with_dedupe("blanks").run(blocks(spark, x, "gray8", 16), str(tmp_path / "img"))
+
+
 def test_links_and_slow_writers(spark, tmp_path):
     x = np.zeros((32, 48, 1), np.uint8)
     out, job = str(tmp_path / "img"), PyramidJob(48, 32, 16, pixel_format="gray8").with_format("raw").with_dedupe("blanks", links=True)

@@ -116,6 +116,11 @@ class PyramidJob:
     def with_format(self, tile_format: str, quality: int = 80) -> PyramidJob:
         return self._with(tile_format=self._one_of("format", tile_format, FORMATS), quality=quality)
 
+    def with_sink(self, put: Callable[[str, bytes], None] | None) -> PyramidJob:
+        """Executors hand tiles to put(path, data), with retries and failures as for files; documents still go to the output
+        folder. Dedupe and verification are for files."""
+        return self._with(sink=put)
+
     def with_extension(self, name: str, value) -> PyramidJob:
         return self._with(extensions=self.settings.get("extensions", {}) | {name: value})
 
@@ -305,6 +310,8 @@ class PyramidJob:
         began, spark, mode = time.time(), blocks.sparkSession, self.settings.get("resume", "overwrite")
         if mode == "verify":
             return self.verify(blocks, out)
+        if self.settings.get("sink") and (self.settings.get("dedupe", "none") != "none" or self.settings.get("checksum_mode") == "verify"):
+            raise ValueError("dedupe and verification need files")
         out = out.rstrip("/")
         if mode == "overwrite" and os.path.isdir(out):
             for name in os.listdir(out):
@@ -408,7 +415,7 @@ class PyramidJob:
     def _written(self, spark: SparkSession, made: DataFrame, out: str, folder: str, state: manifest.Progress, description: str) -> DataFrame:
         """Encodes and writes rows where they are; their facts, committed by Spark."""
         job, tile_format, quality, layout, extension = self, self.settings.get("tile_format", "png"), self.settings.get("quality", 80), self.layout, self._extension
-        writer = sinks.FactWriter(out, os.path.join(folder, "blocks"), state.folder, self.settings.get("checkpoint_every", 0), self.settings.get("checksums"), {k: self.settings[k] for k in ("failures", "max_retries", "initial_ms") if k in self.settings})
+        writer = sinks.FactWriter(out, os.path.join(folder, "blocks"), state.folder, self.settings.get("checkpoint_every", 0), self.settings.get("checksums"), {k: self.settings[k] for k in ("failures", "max_retries", "initial_ms") if k in self.settings}, self.settings.get("sink"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with writer.opened() as put:

@@ -97,6 +97,7 @@ class FactWriter:
     every: int = 0
     algorithm: str | None = None
     options: dict = field(default_factory=dict)
+    sink: Callable[[str, bytes], None] | None = None
 
     @contextmanager
     def opened(self) -> Iterator[FactWriter]:
@@ -123,7 +124,8 @@ class FactWriter:
     def tile(self, r, path: str, data: bytes) -> tuple:
         from ..functions.hashing import hex_digest
 
-        retries, ok = attempt(lambda: put_file(os.path.join(self.out, path), data), self.policy, self.failures, self.rng)
+        write = (lambda: self.sink(path, data)) if self.sink else (lambda: put_file(os.path.join(self.out, path), data))
+        retries, ok = attempt(write, self.policy, self.failures, self.rng)
         digest = hex_digest(data, self.algorithm) if self.algorithm else None
         fact = {
             "kind": "tile", "image_id": r.image_id, "level": int(r.level), "col": int(r.col), "row": int(r.row), "path": path, "y0": None, "x0": None, "w": int(r.w), "h": int(r.h), "pixel_format": r.pixel_format, "bytes": len(data),
