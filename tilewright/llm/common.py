@@ -124,14 +124,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+SPAN = 1 << 16
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(SPAN, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_BASE = 0x5851F42D4C957F2D
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive word hashes."""
+    """A hash of each k consecutive word hashes, from running sums of a polynomial over them: a few passes, whatever k is."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += h[i : i + n]
-        out ^= out >> np.uint64(29)
+    if k >= SPAN:  # a few windows of very many
+        return np.array([xxhash.xxh3_64_intdigest(h[i : i + k].tobytes()) for i in range(n)], np.uint64)
+    out, step = np.empty(n, np.uint64), SPAN - k
+    for a in range(0, n, step):
+        part = h[a : a + step + k - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _POWER[: len(part)], out=sums[1:])
+        out[a : a + step] = (sums[k:] - sums[:-k]) * _INVERSE[: len(part) - k + 1]
     return mixed(out)
