@@ -83,6 +83,21 @@ def test_window_entropy(spark):
         assert r.h == pytest.approx(h)
 
 
+#: Identifiers, paths, dates and names with digits, written by hand.
+CLEAN = """configuration_manager_version_12 MyVeryLongClassNameVersion2 docs/user-guide/getting-started/part2 getElementsByTagNameNS2 test_user_can_log_in_with_2fa org/apache/commons/lang3/StringUtils
+blog/2024/01/15/some-long-title 123e4567-e89b-12d3-a456-426614174000 2024-01-15-release-notes-v2-final node_modules/lodash/fp/_mapping2 20240115T103000Z-backup-daily-01 abcdefghijklmnopqrstuvwxyz0123456789
+00000000-0000-0000-0000-000000000000 ABCDEFGHIJKLMNOPQRSTUVWXYZ234567 application/vnd+oasis-opendocument2 x-amz-meta-user-defined-key-number-1 rfc2822-date-header-format-example us-east-1-prod-web-server-cluster-04
+feature/PROJ-1234-add-login-button backup_2023_12_31_full_database_dump IMG_20230615_142233_HDR_edited_final2 Chapter-12-Section-3-Subsection-1 python3-dev-libssl-dev-build-essential linux-image-5-15-0-91-generic-amd64
+jquery-3-6-0-min-slim-bundle-version GL_COMPRESSED_RGBA_S3TC_DXT5_EXT XMLHttpRequestEventTarget2Prototype MAX_CONNECTIONS_PER_HOST_DEFAULT_16 0123456789012345678901234567890 four-score-and-7-years-ago-our-fathers
+en-US-x-twain-variant-2-of-american com/example/project1/service2/impl3 Windows-10-Enterprise-LTSC-2021-x64 covid19-vaccination-report-2021-q3 utf8mb4_unicode_520_ci_collation iso8859-15-latin-9-western-european
+tcp-port-8080-listening-on-localhost section3/paragraph12/sentence4/word5 vitamin-b12-deficiency-symptoms-list win32/x86/release/setup-installer-2""".split()
+
+
+def test_clean_names_are_left_alone(spark):
+    got = by_id(secret_scan.secrets(spark.createDataFrame([(i, f"see {c} here") for i, c in enumerate(CLEAN)], "doc_id long, text string")))
+    assert sum(r.n_entropy > 0 for r in got.values()) <= 0.1 * len(CLEAN)
+
+
 def brute_secrets(text):
     """(start, kind, end) of the base rules and of the entropy scan, each by a plain scan."""
     t = text or ""

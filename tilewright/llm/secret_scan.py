@@ -35,8 +35,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Limits in bits for windows of 20, by the symbols that a value draws on: of random strings of 20, 1% or fewer are below.
 LIMITS = {"hex": 2.87, "single": 3.34, "alnum": 3.64, "base64": 3.64}
 _WORDS = r"(?:[A-Z][a-z]++|[a-z]++|[A-Z]++(?![a-z]))++"  # no case changes as random letters have them
-_PART = rf"(?:{_WORDS}[0-9]{{0,4}}+|[0-9]{{1,4}}+)(?![A-Za-z0-9])"
-_NAME = rf"{_PART}(?:[-_]++{_PART})*+"
+_PART = rf"(?:{_WORDS}[0-9]{{0,4}}+|[0-9]{{1,8}}+(?:T[0-9]{{4,6}}+Z?)?)(?![A-Za-z0-9])"
+_NAME = rf"_*+{_PART}(?:[-_+]++(?:{_PART}|[A-Za-z0-9]{{1,4}}+(?![A-Za-z0-9])))*+"  # after the first, short parts of any kind
 _RUN = r"0123456789|1234567890|[0-9]{1,4}(?![0-9])|(?i:abcdef(?:gh(?:ijklmnopqrstuvwxyz)?)?|x{4,}+|example|sample|dummy|placeholder|your|test|api|access|secret|token|key)"
 #: What a whole value may be without being a secret: a public example, placeholders and runs of the alphabet, UUIDs, names, paths, numbers.
 ALLOW = rf"^(?:wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|(?:[-_/+]?(?:{_RUN}))++|(?i:[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}})|{_NAME}|/?(?:{_NAME}/++)++(?:{_NAME})?|[0-9][0-9-]*+)$"
