@@ -230,6 +230,41 @@ def test_jaccard_of_five_words(corpus, monkeypatch, block):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+def test_jaccard_of_crowds_sends_few_sets(spark, monkeypatch):
+    """Texts that common lines connect, and a group of near copies beyond a block: links are whole, though sets are sent a few times only."""
+    rng = np.random.default_rng(5)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    lines = [line(12) for _ in range(40)]
+    texts = [f"{lines[i % 40]} {lines[(i * 7 + 1) % 40]} {lines[(i * 11 + 2) % 40]} {line(12)}" for i in range(300)]
+    texts += [texts[i].rsplit(" ", 1)[0] for i in range(0, 300, 30)]
+    copied = line(400).split()
+    for i in range(120):
+        k = int(rng.integers(0, 400))
+        texts.append(" ".join([*copied[:k], f"x{i}", *copied[k + 1 :]]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(w, w[1:], w[2:])) for w in map(str.split, texts)]
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 90 * len(a | b)]
+    want = {i: min(g) for g in _groups(len(sets), pairs) for i in g}
+    sent, links = [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda rows, percent: (sent.append(rows.count()), links(rows, percent))[1])
+    monkeypatch.setattr(jaccard_join, "BLOCK", 30_000)
+    monkeypatch.setattr(jaccard_join, "CROWD", 50, raising=False)
+    got = by_id(jaccard_join.jaccard_components(df))
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert len(set(want.values())) == len(texts) - 10 - 119 and sum(sent) < 4 * len(texts), sent
+
+
+def test_sketches_part_no_links():
+    rng = np.random.default_rng(2)
+    base = [np.unique(rng.integers(-(1 << 62), 1 << 62, n)) for n in (5, 60, 60, 400)]
+    for percent in (80, 90):
+        for bits in (64, 512):
+            sets = [np.unique(np.concatenate((rng.permutation(b)[int(rng.integers(0, len(b) // 5 + 1)) :], rng.integers(0, 1 << 60, int(rng.integers(0, 5)))))) for b in base for _ in range(30)]
+            part = jaccard_join.sketched_parts(np.array([len(s) for s in sets]), np.stack([jaccard_join.sketch(s, bits) for s in sets]), percent)
+            pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))]
+            assert pairs and all(part[i] == part[j] for i, j in pairs) and (bits < 512 or len(set(part.tolist())) >= 3)
+
+
 def test_prefix_tree_against_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 60, 60)

@@ -11,8 +11,12 @@ shingles; with fewer words, the whole sequence is one; without words it is empty
    each. A frequency is one number for all (of other than low shingles it counts the documents that sent them). A document whose prefix consists of shingles of its own alone drops out here.
 4. For each shared prefix shingle the documents that have it are a bucket, by classes of their sets' sizes (each
    is with its own class and the one below); equal buckets count once. Documents
-   that buckets connect are a cluster; most hold a few documents. A cluster of at most BLOCK shingles is a
-   block, so each set is sent once. Of larger clusters each bucket is joined, cut into blocks by a hash.
+   that buckets connect are a cluster; most hold a few documents. A cluster of at most BLOCK shingles and CROWD
+   documents is a block, so each set is sent once. In larger clusters, which lines that many texts say connect, each
+   bucket falls into parts by parity sketches of the whole sets (a bit for each of their shingles, added modulo 2:
+   sketches differ in no more bits than sets in shingles, so none of the wanted similarity are parted). The parts
+   connect clusters anew; of those still larger than BLOCK either each part or the cluster, whichever sends less, is cut
+   into blocks by a hash.
 5. In a block sets whose prefix is theirs alone drop out again, now by all their shingles. A prefix tree stores
    the others (most frequent shingle first, so that near copies share paths);
    each set traverses it, carrying the overlap so far, and leaves a subtree when the shingles left on either
@@ -37,13 +41,16 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import dropped, few, lower_words, semi_joined, share, unused, window_hashes, word_hashes
+from .common import dropped, few, lower_words, mixed, semi_joined, share, unused, window_hashes, word_hashes
 from .components import components
 
 WORDS = 3
 PERCENT = 90
 LOW = 1.6  # times 1 - t: low shingles are more than a prefix takes, so that it can leave out frequent ones
 BLOCK = 2_000_000  # shingles in a block
+CROWD = 2_000  # documents in a cluster that is joined without sketches
+SKETCH = 1 << 14  # bits of a sketch at most; beyond as many shingles it tells less
+PARTED = 200  # blocks of a bucket that sketches part, which are 2 bits a shingle at most; larger buckets stay whole
 SETS = "n_shingles long, print long, low array<long>, n_low int"
 
 
@@ -237,6 +244,82 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInPandas(joined, "a long, b long")
 
 
+def sketch(s: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the numbers of shingles at each of `bits` (a power of two, 64 at least) places, as 64-bit words."""
+    at = np.bincount((mixed(s.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(at.astype(np.uint8)).view(np.uint64)
+
+
+def sketched_parts(sizes: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
+    """For each of some sets the first of those that it is connected with by pairs whose sketches allow the wanted similarity."""
+    part, left = np.arange(len(sizes)), np.arange(len(sizes))
+    while len(left):
+        root, queue = left[0], [(sizes[0], sketches[0])]
+        left, sizes, sketches = left[1:], sizes[1:], sketches[1:]
+        while queue and len(left):
+            size, own = queue.pop()
+            both = sizes + size
+            near = np.bitwise_count(sketches ^ own).sum(axis=1, dtype=np.int64) <= both - 2 * needed(0, both, percent)
+            if near.any():
+                part[left[near]] = root
+                queue += zip(sizes[near], sketches[near])
+                left, sizes, sketches = left[~near], sizes[~near], sketches[~near]
+    return part
+
+
+def _window(n_shingles: Column, seat: Column, percent: int) -> Column:
+    return _size_class(n_shingles, percent) - F.pmod(seat, F.lit(2))
+
+
+def _size_class(n_shingles: Column, percent: int) -> Column:
+    return F.floor(F.log(n_shingles.cast("double")) / (1.0001 * math.log(100 / percent))).cast("long")
+
+
+def _sketches(window: Column, set_: Column, percent: int) -> Column:
+    """Sketches with about as many bits as the largest sets of their window have shingles."""
+
+    @F.pandas_udf("binary")
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for windows, sets in batches:
+            most = np.exp((windows.to_numpy(np.float64) + 2) * (1.0001 * math.log(100 / percent)))
+            bits = 1 << np.ceil(np.log2(np.clip(most, 64, SKETCH))).astype(np.int64)
+            yield pd.Series([sketch(np.asarray(s), int(b)).tobytes() for s, b in zip(sets, bits)])
+
+    return found(window, set_)
+
+
+def _parted(members: DataFrame, percent: int) -> DataFrame:
+    """members (bucket, seat, node, n_shingles, sketch) -> (bucket, seat, node, n_shingles) of the parts of several sets
+    into which buckets fall by their sketches."""
+
+    def parts(held: list[pd.DataFrame]) -> pd.DataFrame:
+        f = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+        bucket, sizes, sketches = f["bucket"].to_numpy(np.int64), f["n_shingles"].to_numpy(np.int64), f.pop("sketch").to_numpy()
+        ends = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(f)]
+        part = np.concatenate([a + sketched_parts(sizes[a:b], np.frombuffer(b"".join(sketches[a:b]), np.uint64).reshape(b - a, -1), percent) for a, b in zip(ends, ends[1:])])
+        f["part"] = f["seat"].to_numpy(np.int64)[part]
+        return f[np.bincount(part, minlength=len(f))[part] > 1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for batch in batches:
+            buckets = batch["bucket"].to_numpy()
+            new = np.flatnonzero(buckets[1:] != buckets[:-1]) + 1
+            if held and buckets[0] != held[-1]["bucket"].iloc[-1]:
+                new = np.concatenate(([0], new))
+            if len(new):  # whole buckets go; the last one waits for its rest
+                if held or new[-1]:
+                    yield parts([*held, batch.iloc[: new[-1]]])
+                held, batch = [], batch.iloc[new[-1] :]
+            held.append(batch)
+        if held:
+            yield parts(held)
+
+    rows = members.select("bucket", "seat", "node", "n_shingles", "sketch").repartition("bucket").sortWithinPartitions("bucket", "seat")
+    found = rows.mapInPandas(run, "bucket long, seat long, node long, n_shingles long, part long")
+    return found.select(F.xxhash64("bucket", "part").alias("bucket"), "seat", "node", "n_shingles")
+
+
 def _blocks(weight: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(weight / BLOCK)).cast("int")
 
@@ -272,21 +355,12 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     dropped(copies, often)
     # sets of the wanted similarity have sizes in the same class or in neighbouring ones: a window holds the sets of
     # its own class and those of the next, and counts if it has one of its own
-    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.0001 * math.log(100 / percent))).cast("long")
-    windows = postings.withColumn("class", size_class).withColumn("window", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+    windows = postings.withColumn("class", _size_class(F.col("n_shingles"), percent)).withColumn("window", F.explode(F.array(F.col("class"), F.col("class") - 1)))
     windows = windows.select("node", "n_shingles", F.xxhash64("bucket", "window").alias("bucket"), (2 * F.col("node") + (F.col("window") != F.col("class")).cast("int")).alias("seat"))
-    # buckets with the same documents are one
-    of = windows.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.col("seat") % 2).alias("own"), F.sum("n_shingles").alias("weight"), F.min("seat").alias("least"), F.bit_xor(F.xxhash64("seat")).alias("x"), F.bit_xor(F.xxhash64("seat", F.lit(1))).alias("y")).where("m > 1 and own = 0")
-    of = of.groupBy("m", "weight", "least", "x", "y").agg(F.min("bucket").alias("bucket"))
-    members = share(windows.join(of.select("bucket", "least", _blocks(F.col("weight")).alias("blocks")), "bucket"), "jaccard-members")
+    members = share(_distinct_buckets(windows), "jaccard-members")
     dropped(postings)
     # documents connected by buckets are a cluster; one of bounded size is joined at once, each set sent once
-    cluster = components(members.select(F.col("seat").alias("a"), F.col("least").alias("b")))
-    sized = members.select("seat", "node", "n_shingles").distinct().join(cluster.withColumnsRenamed({"node": "seat", "component": "cluster"}), "seat")
-    # written first, as before; of a cluster that is large there is one row
-    large = share(sized.groupBy("cluster").agg(F.sum("n_shingles").alias("w")).where(F.col("w") > BLOCK).select("cluster"), "jaccard-large")
-    marked = large.withColumn("large", F.lit(True))
-    sized = share(sized.join(F.broadcast(marked) if few(large) else marked, "cluster", "left").select("node", "seat", "cluster", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-clusters")
+    sized = _clusters(members, "jaccard-large", (F.col("w") > BLOCK) | (F.col("m") > CROWD))
     seats = sized.groupBy("node").agg(F.collect_set(F.struct("cluster", "large")).alias("seats"))  # two at most
     # the whole sets of these documents alone
     wanted = share(classes.select("node", "doc_id", "print").join(seats, "node"), "jaccard-wanted")
@@ -298,16 +372,49 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     if in_large.isEmpty():
         return rows.select("doc_id", "n_shingles", "print"), classes.select("print", "node", "doc_id", "n"), share(components(links), "jaccard-components")
     sets = share(sets.where(F.exists("seats", lambda x: x["large"])).select("node", "set"), "jaccard-sets")
-    first = in_large.withColumns({"block": _block(F.col("blocks")), "component": F.col("node")}).join(sets, "node")
+    sketches = sized.where("large").join(sets, "node")
+    sketches = share(sketches.select("seat", _sketches(_window(F.col("n_shingles"), F.col("seat"), percent), F.col("set"), percent).alias("sketch")).dropDuplicates(["seat"]), "jaccard-sketches")
+    parts = _parted(in_large.where(F.col("blocks") <= PARTED).join(sketches, "seat"), percent)
+    parts = share(parts.unionByName(in_large.where(F.col("blocks") > PARTED).select("bucket", "seat", "node", "n_shingles")), "jaccard-parts")
+    members = share(_distinct_buckets(parts), "jaccard-members")
+    sized = _clusters(members, "jaccard-large", F.col("w") > BLOCK)
+    # of a cluster that is still large either its buckets are joined or the whole of it, whichever sends less
+    sent = members.join(sized.where("large").select("seat", "cluster"), "seat")
+    by_bucket = sent.groupBy("cluster").agg(F.sum(F.col("n_shingles") * F.col("blocks")).alias("each"))
+    whole = sent.select("cluster", "seat", "n_shingles").distinct().groupBy("cluster").agg(F.sum("n_shingles").alias("w")).select("cluster", _blocks(F.col("w")).alias("n_blocks"), "w")
+    whole = share(whole.join(by_bucket, "cluster").where("w * n_blocks <= each").select("cluster", "n_blocks"), "jaccard-whole")
+    at_once = sized.where("not large").select(F.col("cluster").alias("bucket"), "node", F.lit(1).alias("blocks"), "n_shingles")
+    clusters = sized.where("large").join(whole, "cluster").select(F.col("cluster").alias("bucket"), "node", F.col("n_blocks").alias("blocks"), "n_shingles")
+    others = sent.join(whole, "cluster", "left_anti").select("bucket", "node", "blocks", "n_shingles")
+    joined = share(at_once.unionByName(clusters).unionByName(others), "jaccard-joined")
+    first = joined.withColumns({"block": _block(F.col("blocks")), "component": F.col("node")}).join(sets, "node")
     links = links.unionByName(share(_links(first, percent), "jaccard-links"))
     found = share(components(links), "jaccard-components")
-    several = in_large.where("blocks > 1").select("bucket", "node", "n_shingles")
+    several = joined.where("blocks > 1").select("bucket", "node", "n_shingles")
     if not several.isEmpty():
         links = links.unionByName(share(_links(_second(several, found, sets), percent), "jaccard-links"))
         found = share(components(links), "jaccard-components")
     return rows.select("doc_id", "n_shingles", "print"), classes.select("print", "node", "doc_id", "n"), found
 
 
+def _distinct_buckets(seats: DataFrame) -> DataFrame:
+    """(bucket, seat, node, n_shingles) -> the same of buckets with several documents and one of their own class, with their least
+    seat and number of blocks; of buckets with the same documents one."""
+    of = seats.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.pmod("seat", F.lit(2))).alias("own"), F.sum("n_shingles").alias("weight"), F.min("seat").alias("least"), F.bit_xor(F.xxhash64("seat")).alias("x"), F.bit_xor(F.xxhash64("seat", F.lit(1))).alias("y")).where("m > 1 and own = 0")
+    of = of.groupBy("m", "weight", "least", "x", "y").agg(F.min("bucket").alias("bucket"))
+    return seats.join(of.select("bucket", "least", _blocks(F.col("weight")).alias("blocks")), "bucket")
+
+
+def _clusters(members: DataFrame, tag: str, is_large: Column) -> DataFrame:
+    """(node, seat, n_shingles, cluster, large) of the seats that buckets connect; is_large: of a cluster's w shingles and m documents."""
+    cluster = components(members.select(F.col("seat").alias("a"), F.col("least").alias("b")))
+    sized = members.select("seat", "node", "n_shingles").distinct().join(cluster.withColumnsRenamed({"node": "seat", "component": "cluster"}), "seat")
+    # written first, as before; of a cluster that is large there is one row
+    large = share(sized.groupBy("cluster").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("m")).where(is_large).select("cluster"), tag)
+    marked = large.withColumn("large", F.lit(True))
+    return share(sized.join(F.broadcast(marked) if few(large) else marked, "cluster", "left").select("node", "seat", "n_shingles", "cluster", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-clusters")
+
+
 def _second(large: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Blocks for the buckets of several blocks that still hold several components."""
     rows = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
