@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -346,6 +347,22 @@ def test_minimisers_are_shared():
         assert own[0] & own[1]
 
 
+def test_suffixes_leave_a_worker_in_pieces(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 30, raising=False)
+    texts = [" ".join(f"a{i}x{k}" for k in range(n)) for i, n in enumerate((1000, 60, 90, 60))]
+    hashes = [suffix_dedup.word_hashes(suffix_dedup.lower_words(t)) for t in texts]
+    at = [suffix_dedup.minimisers(h).astype(np.int32) for h in hashes]
+    prints = [suffix_dedup._print(h) for h in hashes]
+    f = pd.DataFrame({"text": texts, "print": prints[:3] + [0], "doc": range(4), "last": range(4), "at": at, "shard": [np.zeros(len(a), np.int32) for a in at]})
+    got = list(suffix_dedup._fragments(iter([f]), 50))
+    assert len(got) > 1 and max(map(len, got)) < 60
+    rows = pd.concat(got)
+    assert [tuple(x) for x in rows[["doc", "at"]].to_numpy()] == [(i, a) for i in range(3) for a in at[i].tolist()]
+    for doc, a, right, left in zip(rows["doc"], rows["at"], rows["right"], rows["left"]):
+        h = np.concatenate((np.zeros(24, np.uint64), hashes[doc], np.zeros(24, np.uint64)))
+        assert np.frombuffer(right, ">u8").tolist() == h[a + 50 : a + 74].tolist() and np.frombuffer(left, ">u8").tolist() == h[a : a + 24][::-1].tolist()
+
+
 def test_suffix_odd_rows(odd, odd_rows, none):
     df = suffix_dedup.repeated_passages(odd)
     same_rows(df, odd_rows)

@@ -41,7 +41,8 @@ LENGTH = 50
 GRAM = 8
 HOT = 1_000  # suffixes with the same first words in a shard
 ROWS = 20_000  # suffixes compared at a time
-FRAGMENTS = "seed array<long>, right array<binary>, left array<binary>"
+PIECE = 2_000  # suffixes that leave a Python worker at a time, each with 2 * (LENGTH - SEED) words of 8 bytes
+FRAGMENTS = "print long, doc long, last long, at int, shard int, seed long, right binary, left binary"
 RANGES = "print long, doc long, a int, b int, first long"
 
 
@@ -98,27 +99,36 @@ def surroundings(h: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
     return padded[at[:, None] + more + seed + step], padded[at[:, None] + more - 1 - step]
 
 
-def _fragments(text: Column, print_: Column, at: Column, length: int) -> Column:
-    """The suffixes of a text at `at`, with their surroundings; none of a text that isn't the one of that print."""
+def _fragments(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """The suffixes of texts at `at`, with their surroundings, a few at a time; none of a text that isn't the one of that print."""
+    names = [x.split()[0] for x in FRAGMENTS.split(", ")]
 
     def pieces(x: np.ndarray) -> list[bytes]:
         raw, n = x.astype(">u8").tobytes(), 8 * x.shape[1]
         return [raw[i : i + n] for i in range(0, len(raw), n)]
 
-    @F.pandas_udf(FRAGMENTS)
-    def found(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, prints, places in batches:
-            rows = []
-            for t, own, p in zip(texts, prints, places):
-                h, p = word_hashes(lower_words(t)), np.asarray(p, np.int64)
-                if _print(h) != own or not len(p):
-                    rows.append(([], [], []))
-                    continue
-                right, left = surroundings(h, p, length)
-                rows.append((window_hashes(h, seed_length(length))[p].view(np.int64), pieces(right), pieces(left)))
-            yield pd.DataFrame(rows, columns=["seed", "right", "left"])
+    def done(held: list[tuple]) -> pd.DataFrame:
+        *numbers, right, left = zip(*held)
+        return pd.DataFrame(dict(zip(names, [np.concatenate(x) for x in numbers] + [[p for side in x for p in side] for x in (right, left)])))
 
-    return found(text, print_, at)
+    for batch in batches:
+        held, n = [], 0
+        for t, own, doc, last, at, shard in zip(*(batch[c] for c in ("text", "print", "doc", "last", "at", "shard"))):
+            h = word_hashes(lower_words(t))
+            if _print(h) != own:
+                continue
+            at, shard = np.asarray(at, np.int32), np.asarray(shard, np.int32)
+            seeds = window_hashes(h, seed_length(length))[at].view(np.int64)
+            for a in range(0, len(at), PIECE):
+                part = slice(a, a + PIECE)
+                right, left = surroundings(h, at[part].astype(np.int64), length)
+                held.append((*(np.full(len(right), x, np.int64) for x in (own, doc, last)), at[part], shard[part], seeds[part], pieces(right), pieces(left)))
+                n += len(right)
+                if n >= PIECE:
+                    yield done(held)
+                    held, n = [], 0
+        if held:
+            yield done(held)
 
 
 def _shared(rows: np.ndarray) -> np.ndarray:
@@ -288,16 +298,15 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # suffixes that share their first words with another class; written first, so that Spark can split the join at hot ones
     equal = suffixes.groupBy("seed").agg(F.min("doc").alias("x"), F.max("last").alias("y"), F.min("print").alias("p"), F.max("print").alias("q"), F.count("*").alias("n")).where("x < y and p < q")
     equal = share(equal.select("seed", F.ceil(F.col("n") / hot).cast("int").alias("shards")), "suffix-equal")
-    shard = F.when(F.col("shards") > 1, F.pmod(F.xxhash64("print", "at"), F.col("shards")).cast("int"))
+    shard = F.when(F.col("shards") > 1, F.pmod(F.xxhash64("print", "at"), F.col("shards")).cast("int")).otherwise(0)
     place = lambda is_hot: F.collect_list(F.when((F.col("shards") > 1) == is_hot, F.struct("at", shard.alias("shard"))))
     seeds = share(suffixes.join(equal, "seed").groupBy("print", "doc", "last").agg(place(False).alias("cold"), place(True).alias("hot")), "suffix-seeds")
     # the texts of those documents alone
     texts = semi_joined(docs, seeds.select(F.col("doc").alias("doc_id")), "doc_id").join(seeds.withColumnRenamed("doc", "doc_id"), "doc_id").withColumnRenamed("doc_id", "doc")
 
     def fragments(of: str) -> DataFrame:
-        own = texts.where(F.size(of) > 0).select("print", "doc", "last", of, _fragments(F.col("text"), F.col("print"), F.col(of)["at"], length).alias("f")).where(F.size("f.seed") > 0)
-        zipped = F.arrays_zip(F.col(of).alias("place"), F.col("f.seed").alias("seed"), F.col("f.right").alias("right"), F.col("f.left").alias("left"))
-        return own.select("print", "doc", "last", F.explode(zipped).alias("s")).select("print", "doc", "last", "s.place.at", "s.place.shard", "s.seed", "s.right", "s.left")
+        own = texts.where(F.size(of) > 0).select("print", "doc", "last", "text", F.col(of)["at"].alias("at"), F.col(of)["shard"].alias("shard"))
+        return own.mapInPandas(lambda batches: _fragments(batches, length), FRAGMENTS)
 
     ranges = _neighbours(fragments("cold"), length)
     if not equal.where("shards > 1").isEmpty():
