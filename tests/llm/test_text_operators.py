@@ -231,7 +231,8 @@ def test_jaccard_of_five_words(corpus, monkeypatch, block):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
-def test_jaccard_of_crowds_sends_few_sets(spark, monkeypatch):
+@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
+def test_jaccard_of_crowds_sends_few_sets(spark, monkeypatch, words, percent):
     """Texts that common lines connect, and a group of near copies beyond a block: links are whole, though sets are sent a few times only."""
     rng = np.random.default_rng(5)
     line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
@@ -243,14 +244,14 @@ def test_jaccard_of_crowds_sends_few_sets(spark, monkeypatch):
         k = int(rng.integers(0, 400))
         texts.append(" ".join([*copied[:k], f"x{i}", *copied[k + 1 :]]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [set(zip(w, w[1:], w[2:])) for w in map(str.split, texts)]
-    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 90 * len(a | b)]
+    sets = [set(zip(*(w[k:] for k in range(words)))) for w in map(str.split, texts)]
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= percent * len(a | b)]
     want = {i: min(g) for g in _groups(len(sets), pairs) for i in g}
     sent, links = [], jaccard_join._links
     monkeypatch.setattr(jaccard_join, "_links", lambda rows, percent: (sent.append(rows.count()), links(rows, percent))[1])
     monkeypatch.setattr(jaccard_join, "BLOCK", 30_000)
     monkeypatch.setattr(jaccard_join, "CROWD", 50, raising=False)
-    got = by_id(jaccard_join.jaccard_components(df))
+    got = by_id(jaccard_join.jaccard_components(df, words=words, percent=percent))
     assert {i: r.component_id for i, r in got.items()} == want
     assert len(set(want.values())) == len(texts) - 10 - 119 and sum(sent) < 4 * len(texts), sent
 
