@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -9,7 +10,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tilewright.llm import decontaminate, html_text, jaccard_join, language, mixing, pii, quality, secret_scan, subword, suffix_dedup, toxicity
+from tilewright.llm import components as component_rounds, decontaminate, html_text, jaccard_join, language, mixing, pii, quality, secret_scan, subword, suffix_dedup, toxicity
+from tilewright.llm.common import share
 from tilewright.llm.components import components
 from tilewright.llm.subword import SubwordModel, grams, word_bytes
 
@@ -297,6 +299,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("held", [5, 60, 400, 500_000])  # star rounds, one or several passes of forests before them, one part
+def test_components_in_parts(spark, monkeypatch, held):
+    monkeypatch.setattr(component_rounds, "EDGES", held)
+    r = random.Random(held)
+    path = r.sample(range(1000, 1200), 200)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + list(zip(path, path[1:])) + [(2000, 2000 + i) for i in range(90)]
+    r.shuffle(edges)
+    want = {x: min(g) for g in _groups(2100, edges) if len(g) > 1 for x in g}
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+    assert {x.node: x.component for x in got} == want and len(got) == len(want)
+
+
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(component_rounds, "share", lambda df, tag: written.append(tag) or share(df, tag))
+    path = random.Random(5).sample(range(300), 300)
+    got = components(spark.createDataFrame(list(zip(path, path[1:])), "a long, b long"))
+    assert [(x.component, x["count"]) for x in got.groupBy("component").count().collect()] == [(0, 300)]
+    assert len(written) <= 2  # a round of stars writes four tables, and a path needs several
+
+
 def test_jaccard_odd_rows(odd, odd_rows, none):
     df = jaccard_join.jaccard_components(odd)
     same_rows(df, odd_rows)
