@@ -10,6 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tilewright.llm import components as component_rounds, decontaminate, html_text, jaccard_join, language, mixing, pii, quality, secret_scan, subword, suffix_dedup, toxicity
 from tilewright.llm.common import share
 from tilewright.llm.components import components
@@ -320,6 +321,13 @@ def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
     assert len(written) <= 2  # a round of stars writes four tables, and a path needs several
 
 
+def test_near_copies_of_the_pipeline_take_few_rounds(spark, corpus, monkeypatch):
+    written = []
+    monkeypatch.setattr(component_rounds, "share", lambda df, tag: written.append(tag) or share(df, tag))
+    kept = corpus_pipeline.drop_near_copies(spark, corpus, "").count()
+    assert 100 < kept < corpus.count() - 15 and len(written) <= 4  # two searches
+
+
 def test_jaccard_odd_rows(odd, odd_rows, none):
     df = jaccard_join.jaccard_components(odd)
     same_rows(df, odd_rows)
