@@ -328,6 +328,21 @@ def test_near_copies_of_the_pipeline_take_few_rounds(spark, corpus, monkeypatch)
     assert 100 < kept < corpus.count() - 15 and len(written) <= 4  # two searches
 
 
+@pytest.mark.parametrize("pack", [1 << 20, 64])
+def test_shingles_are_counted_packed(spark, corpus, monkeypatch, pack):
+    """Shingles of one document alone never become rows; those of several keep their frequencies and documents."""
+    r = random.Random(7)
+    sets = [(i, sorted({r.randrange(-(1 << 63), 1 << 63) for _ in range(r.choice([0, 3, 90]))} | {5, *r.sample(range(-400, 400), 4)})) for i in range(150)]
+    df = collections.Counter(t for _, low in sets for t in low)
+    rows = spark.createDataFrame(sets, "node long, low array<long>").repartition(3)
+    got = [tuple(x) for x in jaccard_join._shared(rows, 1, pack, 10).collect()]
+    assert sorted(got) == sorted((t, df[t], i) for i, low in sets for t in low if df[t] > 1) and df[5] == 150
+    plans = {}
+    monkeypatch.setattr(jaccard_join, "share", lambda x, tag: plans.setdefault(tag, x._jdf.queryExecution().toString()) and share(x, tag))
+    jaccard_join.jaccard_components(corpus, words=5, percent=80)
+    assert "explode(low" not in "".join(plans.values()) and "jaccard-postings" in plans
+
+
 def test_jaccard_odd_rows(odd, odd_rows, none):
     df = jaccard_join.jaccard_components(odd)
     same_rows(df, odd_rows)

@@ -8,7 +8,8 @@ shingles; with fewer words, the whole sequence is one; without words it is empty
 2. Equal fingerprints are one class; its least doc_id stands for it from here on.
 3. Shingles are globally ordered: low ones first, then the rest, both by (document frequency, hash), so that what many
    texts say comes last. Two sets with the wanted similarity share a shingle within the first n - ceil(t * n) + 1 of
-   each. A frequency is one number for all (of other than low shingles it counts the documents that sent them). A document whose prefix consists of shingles of its own alone drops out here.
+   each. Shingles move packed, by hash, and are counted there; only those of several documents become rows.
+   A frequency is one number for all (of other than low shingles it counts the documents that sent them). A document whose prefix consists of shingles of its own alone drops out here.
 4. For each shared prefix shingle the documents that have it are a bucket, by classes of their sets' sizes (each
    is with its own class and the one below); equal buckets count once. Documents
    that buckets connect are a cluster; most hold a few documents. A cluster of at most BLOCK shingles and CROWD
@@ -38,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -51,6 +53,8 @@ BLOCK = 2_000_000  # shingles in a block
 CROWD = 2_000  # documents in a cluster that is joined without sketches
 SKETCH = 1 << 14  # bits of a sketch at most; beyond as many shingles it tells less
 PARTED = 200  # blocks of a bucket that sketches part, which are 2 bits a shingle at most; larger buckets stay whole
+PACK = 1 << 20  # shingles that a task packs at a time, 16 bytes each
+PART = 1 << 17  # shingles that are counted at a time, about; more where one shingle has more documents
 SETS = "n_shingles long, print long, low array<long>, n_low int"
 
 
@@ -58,7 +62,8 @@ def shingles(text, words: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes."""
     found = lower_words(text)
     if len(found) >= words:
-        return np.unique(window_hashes(word_hashes(found), words))
+        s = np.sort(window_hashes(word_hashes(found), words))  # np.unique takes a hash table, five times as slow
+        return s[np.concatenate(([True], s[1:] != s[:-1]))]
     return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), 1)], np.uint64) if found else np.empty(0, np.uint64)
 
 
@@ -112,6 +117,66 @@ def _full_sets(text: Column, words: int) -> Column:
     return found(text)
 
 
+def _packed(batches: Iterator[pa.RecordBatch], bits: int, pack: int) -> Iterator[pa.RecordBatch]:
+    """(node, low) -> (part, pairs): all pairs of a shingle and a node whose shingle's hash begins with these bits, in
+    native bytes, up to `pack` pairs at a time."""
+
+    def out(token: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        part = (mixed(token.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        part, pairs = part[order], np.stack((token[order], node[order]), 1)
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        ends = (16 * np.append(first, len(part))).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(pairs)])
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), found], names=["part", "pairs"])
+
+    held, n = [], 0
+    for batch in batches:
+        low = batch.column("low")
+        held.append((low.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column("node").to_numpy(), low.value_lengths().to_numpy())))
+        n += len(held[-1][0])
+        if n >= pack:
+            token, node = (np.concatenate(x) for x in zip(*held))
+            for a in range(0, n - n % pack, pack):
+                yield out(token[a : a + pack], node[a : a + pack])
+            held, n = [(token[n - n % pack :], node[n - n % pack :])], n % pack
+    if n:
+        yield out(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, pairs) by part -> (token, df, node) of the shingles that several nodes have."""
+
+    def out() -> pa.RecordBatch:
+        token, node = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2).T
+        order = np.argsort(token)
+        token, node = token[order], node[order]
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        n = np.diff(np.append(first, len(token)))
+        df = np.repeat(n, n)
+        several = df > 1
+        return pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token, df, node)], names=["token", "df", "node"])
+
+    key, held = None, []
+    for batch in batches:
+        for part, pairs in zip(batch.column("part").to_pylist(), batch.column("pairs")):
+            if part != key:
+                if held:
+                    yield out()
+                key, held = part, []
+            held.append(pairs.as_py())
+    if held:
+        yield out()
+
+
+def _shared(sets: DataFrame, n: int, pack: int = PACK, per: int = PART) -> DataFrame:
+    """sets (node, low), of n shingles or so in all -> (token, df, node) of the shingles that df > 1 nodes have. Most shingles are of one
+    document alone: they move once, packed, and never become rows."""
+    bits = min(16, max(9, math.ceil(math.log2(max(1, n / per)))))
+    packed = sets.select("node", "low").mapInArrow(lambda batches: _packed(batches, bits, pack), "part int, pairs binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(_counted, "token long, df long, node long")
+
+
 class _Node:
     __slots__ = ("children", "ends", "least", "most", "one", "run")
 
@@ -334,17 +399,16 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     rows = docs.select("doc_id", _sets(F.col("text"), words, percent).alias("s")).select(F.monotonically_increasing_id().alias("node"), "doc_id", "s.*")
     rows = share(rows, "jaccard-rows")
     filled = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("print", "n_shingles").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.count("*").alias("n")).select("print", "n_shingles", "first.doc_id", "first.node", "n")
+    classes = filled.groupBy("print", "n_shingles", "n_low").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.count("*").alias("n")).select("print", "n_shingles", "n_low", "first.doc_id", "first.node", "n")
     classes = share(classes, "jaccard-classes")
     several = classes.where("n > 1").select("print", F.col("node").alias("first"))
     copies = share(filled.select("print", "node").join(several, "print").where("node <> first").select("node"), "jaccard-copies")
-    tokens = semi_joined(filled, copies, "node", "left_anti").select("node", "n_shingles", "n_low", F.explode("low").alias("token"))
-    # written first: a join of two plain exchanges, which Spark can split at hot shingles
-    often = share(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-often")
+    sets = semi_joined(filled, copies, "node", "left_anti")
+    tokens = _shared(sets, classes.agg(F.sum("n_low")).first()[0] or 0)
     # the shared shingles of each prefix, rarest first
     is_high = (F.col("token") < 0) | (F.col("token") >= low_limit(percent))
     entry = F.struct(is_high.alias("high"), F.col("df").alias("df"), F.col("token").alias("token"))
-    shared = tokens.join(often, "token").groupBy("node", "n_shingles", "n_low").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    shared = tokens.groupBy("node").agg(F.array_sort(F.collect_list(entry)).alias("all")).join(filled.select("node", "n_shingles", "n_low"), "node")
     low, high = F.filter("all", lambda x: ~x["high"]), F.filter("all", lambda x: x["high"])
     # a set's own shingles stand before its shared ones among the low ones, and again among the others
     prefix = F.expr(f"n_shingles - ({percent} * n_shingles + 99) div 100 + 1")
@@ -352,7 +416,7 @@ def classes_and_links(docs: DataFrame, doc_id: str, text: str, words: int, perce
     more = F.greatest(F.lit(0), prefix - (F.col("n_shingles") - F.size(high))).cast("int")
     first = F.concat(F.slice(low, F.lit(1), room), F.slice(high, F.lit(1), more))
     postings = share(shared.select("node", "n_shingles", F.explode(first["token"]).alias("bucket")), "jaccard-postings")
-    dropped(copies, often)
+    dropped(copies)
     # sets of the wanted similarity have sizes in the same class or in neighbouring ones: a window holds the sets of
     # its own class and those of the next, and counts if it has one of its own
     windows = postings.withColumn("class", _size_class(F.col("n_shingles"), percent)).withColumn("window", F.explode(F.array(F.col("class"), F.col("class") - 1)))
