@@ -36,6 +36,22 @@ def test_query_against_oracle(spark, oracle, name):
     assert rows(got) == rows(want) and len(got)
 
 
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["resume_completed"])
+def test_lists_of_tiles_are_not_broadcast(spark, name):
+    assert "Broadcast" not in final_plan(catalog.QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["resume_completed"])
+def test_tiles_of_a_small_file_are_made_by_many_tasks(spark, name):
+    plan = final_plan(catalog.QUERIES[name](spark, SF))
+    assert "hashpartitioning(image_id" in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_plan_hashes_differ(spark):
     got = catalog.QUERIES["plan_hashes"](spark, SF).toPandas()
     assert got.plan_hash.nunique() == len(got) and got.plan_hash.str.fullmatch("[0-9a-f]{64}").all()

@@ -35,11 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- plans of an image catalogue -------------------------------------------------------------------
 
 
-def images(spark, sf_dir, layout="deep_zoom", tile_size=256, overlap=0, centre=False, where="true") -> DataFrame:
+def images(spark, sf_dir, layout="deep_zoom", tile_size=256, overlap=0, centre=False, where="true", spread=False) -> DataFrame:
+    """spread: for plans that go on to tiles."""
     size = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("image_id"), (100 + (F.col("p_partkey") * 37) % 2000).cast("long").alias("width"), (100 + F.col("p_size").cast("long") * 31).alias("height")
     )
-    return size.where(where).withColumns({"tile_size": F.lit(tile_size).cast("long"), "overlap": F.lit(overlap).cast("long"), "layout": F.lit(layout), "centre": F.lit(centre)})
+    size = planner.spread(size.where(where)) if spread else size.where(where)
+    return size.withColumns({"tile_size": F.lit(tile_size).cast("long"), "overlap": F.lit(overlap).cast("long"), "layout": F.lit(layout), "centre": F.lit(centre)})
 
 
 def img_sql(where: str = "true") -> str:
@@ -439,7 +441,7 @@ DONE = '(level * 7 + col * 3 + "row") % 4 < 3'
 
 
 def _planned_and_done(spark, sf) -> tuple[DataFrame, DataFrame]:
-    t = planner.tiles(planner.levels(planner.plan(images(spark, sf)))).select("image_id", "level", "col", "row")
+    t = planner.tiles(planner.levels(planner.plan(images(spark, sf, spread=True)))).select("image_id", "level", "col", "row")
     return t, t.where("(level * 7 + col * 3 + row) % 4 < 3")
 
 

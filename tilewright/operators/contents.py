@@ -53,13 +53,19 @@ def verify_report(statuses: DataFrame) -> DataFrame:
 KEY = ["image_id", "level", "col", "row"]
 
 
+def _moved(tiles: DataFrame) -> DataFrame:
+    """A side of a join that is sorted and merged, never broadcast: Spark takes exploded tiles to be as small as the images
+    that they come from, and would send all of them through the driver into each task."""
+    return tiles.hint("merge")
+
+
 def remaining(planned: DataFrame, completed: DataFrame) -> DataFrame:
     """Tiles of the plan still to be made: filtered before any pixel is touched."""
     return planned.join(completed.select(*KEY), KEY, "left_anti")
 
 
 def completed_of(planned: DataFrame, completed: DataFrame) -> DataFrame:
-    return planned.join(completed.select(*KEY), KEY, "left_semi")
+    return planned.join(_moved(completed.select(*KEY)), KEY, "left_semi")
 
 
 def levels_completed(planned: DataFrame, completed: DataFrame) -> DataFrame:

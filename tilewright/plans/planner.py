@@ -1,4 +1,4 @@
-"""Pyramid planning: images -> plan -> levels -> tiles, each a projection or a generator, without a shuffle.
+"""Pyramid planning: images -> plan -> levels -> tiles, each a projection or a generator, without a shuffle (but for spread).
 
 images: image_id, width, height, tile_size, overlap, layout (deep_zoom, xyz, google), centre.
 """
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tilemath import bytes_per_pixel, ceil_div, ceil_half, ceil_log2, idiv, long, power2, tile_path
 
+IMAGES_A_TASK = 20_000
+
 
 def validated(images: DataFrame) -> DataFrame:
     """images, raising on a row that has no plan."""
@@ -25,6 +27,13 @@ def is_valid() -> Column:
     return (F.col("width") > 0) & (F.col("height") > 0) & (F.col("tile_size") > 0) & (F.col("overlap") >= 0) & (F.col("overlap") < F.col("tile_size"))
 
 
+def spread(images: DataFrame) -> DataFrame:
+    """images, which are counted, dealt to tasks of about IMAGES_A_TASK, two for each core at least: a row becomes tens of
+    tiles, but one task reads all of a file's row group, and Spark would merge partitions that are small as yet."""
+    n = max(2 * images.sparkSession.sparkContext.defaultParallelism, -(-images.count() // IMAGES_A_TASK))
+    return images.repartition(n, "image_id")
+
+
 def plan(images: DataFrame) -> DataFrame:
     """images with n_levels, canvas_width, canvas_height, offset_x, offset_y."""
     w, h, ts, google = long(F.col("width")), long(F.col("height")), long(F.col("tile_size")), F.col("layout") == "google"
