@@ -61,7 +61,7 @@ def _moved(tiles: DataFrame) -> DataFrame:
 
 def remaining(planned: DataFrame, completed: DataFrame) -> DataFrame:
     """Tiles of the plan still to be made: filtered before any pixel is touched."""
-    return planned.join(completed.select(*KEY), KEY, "left_anti")
+    return planned.join(_moved(completed.select(*KEY)), KEY, "left_anti")
 
 
 def completed_of(planned: DataFrame, completed: DataFrame) -> DataFrame:
