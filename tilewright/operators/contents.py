@@ -72,7 +72,7 @@ def levels_completed(planned: DataFrame, completed: DataFrame) -> DataFrame:
     """Levels all of whose tiles are completed, counted by distinct coordinates."""
     done = completed.select(*KEY).distinct().groupBy("image_id", "level").agg(F.count("*").alias("done"))
     total = planned.groupBy("image_id", "level").agg(F.count("*").alias("total"))
-    return total.join(done, ["image_id", "level"]).where("done >= total").select("image_id", "level")
+    return total.join(_moved(done), ["image_id", "level"]).where("done >= total").select("image_id", "level")
 
 
 def running_peak(log: DataFrame, key: str, order: list[str], amount: str) -> DataFrame:
