@@ -46,7 +46,7 @@ def test_lists_of_tiles_are_not_broadcast(spark, name):
     assert "Broadcast" not in final_plan(catalog.QUERIES[name](spark, SF))
 
 
-@pytest.mark.parametrize("name", ["resume_completed", "resume_remaining", "resume_levels_completed"])
+@pytest.mark.parametrize("name", ["resume_completed", "resume_remaining", "resume_levels_completed", "tile_paths_parsed", "object_keys", "packfile_entries", "plan_tiles_google_256_1"])
 def test_tiles_of_a_small_file_are_made_by_many_tasks(spark, name):
     plan = final_plan(catalog.QUERIES[name](spark, SF))
     assert "hashpartitioning(image_id" in plan and "REPARTITION_BY_NUM" in plan

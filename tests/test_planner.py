@@ -73,6 +73,17 @@ def test_paths_and_back(spark):
     assert [tuple(g) if g else None for g in got] == [(3, 4, 5), (3, 4, 5), (3, 5, 4), None, None, None]
 
 
+def test_odd_paths(spark):
+    big = "99999999999999999999"
+    cases = {
+        ("deep_zoom", "03/4_5.png"): (3, 4, 5), ("deep_zoom", "3/4_5.png\n"): (3, 4, 5), ("google", "1/20/300.webp"): (1, 300, 20), ("other", "3/4/5.png"): (3, 4, 5),
+        ("deep_zoom", f"3/{big}_5.png"): (3, None, 5), ("xyz", f"{big}/4/5.png"): (None, 4, 5), ("google", f"3/{big}/5.png"): (3, 5, None),
+    } | dict.fromkeys([(None, "3/4/5.png"), (None, "3/4_5.png"), ("deep_zoom", "3/4/5.png"), ("xyz", "/4/5.png"), ("xyz", "3/4/5.tar.gz"), ("xyz", "3/4/5"), ("xyz", "-3/4/5.png"), ("xyz", " 3/4/5.png"), ("google", "2/3/4/5.png"), ("deep_zoom", "3/4_5_6.png"), ("xyz", "")])
+    df = spark.createDataFrame(list(cases), "layout string, path string")
+    got = {(r.layout, r.path): tuple(r.at) if r.at else None for r in df.select("*", tm.parse_tile_path(F.col("layout"), F.col("path")).alias("at")).collect()}
+    assert got == cases
+
+
 def test_strip_memory_against_loop(spark):
     def loop(w, h, bpp):
         total = 0

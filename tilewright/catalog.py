@@ -100,7 +100,7 @@ for _layout in ("deep_zoom", "xyz", "google"):
 TILE_COLUMNS = ["image_id", "level", "col", "row", "x", "y", "w", "h"]
 for _layout, _ts, _ov in (("deep_zoom", 256, 0), ("deep_zoom", 254, 1), ("xyz", 128, 2), ("google", 256, 1)):
     _name = f"plan_tiles_{_layout}_{_ts}_{_ov}"
-    QUERIES[_name] = lambda spark, sf, a=(_layout, _ts, _ov): planner.tiles(planner.levels(planner.plan(images(spark, sf, *a)))).select(TILE_COLUMNS)
+    QUERIES[_name] = lambda spark, sf, a=(_layout, _ts, _ov): planner.tiles(planner.levels(planner.plan(images(spark, sf, *a, spread=True)))).select(TILE_COLUMNS)
     ORACLE_SQL[_name] = f'WITH {tiles_sql(_layout, _ts, _ov, "true")} SELECT image_id, level, col, "row", x, y, w, h FROM tl'
 
 
@@ -111,7 +111,7 @@ for _layout, _ts, _ov in (("deep_zoom", 256, 0), ("deep_zoom", 254, 1), ("xyz",
     SELECT image_id, level, col, "row", layout, CASE layout WHEN 'deep_zoom' THEN level || '/' || col || '_' || "row" WHEN 'xyz' THEN level || '/' || col || '/' || "row" ELSE level || '/' || "row" || '/' || col END || '.png' AS path FROM t, d"""
 )
 def tile_paths_all_layouts(spark, sf):
-    t = planner.tiles(planner.levels(planner.plan(images(spark, sf, "xyz")))).drop("layout")
+    t = planner.tiles(planner.levels(planner.plan(images(spark, sf, "xyz", spread=True)))).drop("layout")
     named = t.withColumn("layout", F.explode(F.array(*map(F.lit, ("deep_zoom", "xyz", "google")))))
     return planner.paths(named).select("image_id", "level", "col", "row", "layout", "path")
 

@@ -93,7 +93,7 @@ SELECT image_id, stem || '_files/' || path AS entry FROM p UNION ALL SELECT imag
 @query(PACKFILE_ENTRIES)
 def packfile_entries(spark, sf):
     """The names of every tile in its image's archive."""
-    t = planner.paths(planner.tiles(planner.levels(planner.plan(images(spark, sf)))))
+    t = planner.paths(planner.tiles(planner.levels(planner.plan(images(spark, sf, spread=True)))))
     stem = F.concat(F.lit("img"), F.col("image_id").cast("string"))
     return t.select("image_id", F.explode(tm.archive_entries(stem, F.col("path"))).alias("entry"))
 

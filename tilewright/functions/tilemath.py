@@ -89,11 +89,15 @@ def tile_path(layout: Column, level: Column, col: Column, row: Column, extension
 
 
 def parse_tile_path(layout: Column, path: Column) -> Column:
-    """STRUCT level, col, row; null for what is no tile path. Google's row and column are told apart by the layout."""
-    number = lambda i: F.regexp_extract(path, r"^([0-9]+)/([0-9]+)[/_]([0-9]+)\.[A-Za-z0-9]+$", i).try_cast("long")
-    swap = layout == "google"
-    fits = path.rlike(r"^[0-9]+/[0-9]+_[0-9]+\.[A-Za-z0-9]+$") & (layout == "deep_zoom") | path.rlike(r"^[0-9]+/[0-9]+/[0-9]+\.[A-Za-z0-9]+$") & (layout != "deep_zoom")
-    coord = F.struct(number(1).alias("level"), F.when(swap, number(3)).otherwise(number(2)).alias("col"), F.when(swap, number(2)).otherwise(number(3)).alias("row"))
+    """STRUCT level, col, row; null for what is no tile path. Google's row and column are told apart by the layout.
+    One expression is matched for a path; what fits it is cut at its only separators."""
+    deep, swap = layout == "deep_zoom", layout == "google"
+    fits = F.when(deep, path.rlike(r"^[0-9]+/[0-9]+_[0-9]+\.[A-Za-z0-9]+$")).when(~deep, path.rlike(r"^[0-9]+/[0-9]+/[0-9]+\.[A-Za-z0-9]+$"))
+    bare = F.substring_index(path, ".", 1)
+    last = F.substring_index(bare, "/", -1)
+    first = F.when(deep, F.substring_index(last, "_", 1)).otherwise(F.substring_index(F.substring_index(bare, "/", 2), "/", -1))
+    a, b = first.try_cast("long"), F.substring_index(last, "_", -1).try_cast("long")
+    coord = F.struct(F.substring_index(bare, "/", 1).try_cast("long").alias("level"), F.when(swap, b).otherwise(a).alias("col"), F.when(swap, a).otherwise(b).alias("row"))
     return F.when(fits, coord)
 
 
